@@ -6,12 +6,16 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, rollup, simhash
+from . import bpe, factors, mixing, rollup, simhash, suffix_dedup
 from .common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factors.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -24,9 +28,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained_counts(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_bpe, op7_token_counts, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op5_bpe, op7_token_counts, op9_suffix_dedup, op10_simhash)}
 SQL = {"op2_mixing": mixing.SQL, "op7_token_counts": rollup.SQL}
