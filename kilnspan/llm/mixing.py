@@ -27,7 +27,9 @@ def source_targets(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFr
     s = s.withColumn("before", F.coalesce(F.sum("top").over(up.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     s = s.withColumn("rest", F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing)))
     s = s.withColumn("level", (F.col("total") - F.col("before")).cast("double") / F.col("rest"))
-    s = s.withColumn("final", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(by))
+    # in order of ratio, the first source that its level does not fill; the ones before are full
+    whole = up.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    s = s.withColumn("final", F.first(F.when(F.col("level") <= F.col("ratio"), F.col("level")), ignorenulls=True).over(whole))
     return s.select("source", "source_size", F.least(F.col("top").cast("double"), F.col("w") * F.coalesce("final", "ratio")).alias("target"))
 
 
@@ -72,7 +74,7 @@ w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS
 r AS (SELECT *, source_size * 3 AS top, CAST(source_size * 3 AS DOUBLE) / w AS ratio FROM w),
 l AS (SELECT *, CAST(sum(source_size) OVER () - coalesce(sum(top) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE)
   / sum(w) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
-f AS (SELECT *, min(CASE WHEN level <= ratio THEN level END) OVER () AS fin FROM l),
+f AS (SELECT *, first_value(CASE WHEN level <= ratio THEN level END IGNORE NULLS) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS fin FROM l),
 t AS (SELECT source, source_size, least(CAST(top AS DOUBLE), w * coalesce(fin, ratio)) AS target FROM f),
 j AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
   CAST(CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u

@@ -21,7 +21,7 @@ def level(sizes, weights, most=3):
     return target
 
 
-@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, "c": 5, "d": 100}, {"a": 0, "b": 0}, {"b": 7, "é": 1, "Z": 0, None: 30}, {"x": 3}, {}])
+@pytest.mark.parametrize("sizes", [{"a": 10, "b": 1, "c": 5, "d": 100}, {"a": 0, "b": 0}, {"b": 7, "é": 1, "Z": 0, None: 30}, {"x": 3}, {}, {f"s{i:02}": 12000 + i * 977 % 9000 for i in range(20)}, {f"s{i:02}": (i * i * 7919) % 1000 * 10 ** (i % 4) for i in range(25)}])
 def test_targets(spark, sizes):
     order = sorted(sizes, key=lambda s: (s is None, s or ""))
     want = level(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
