@@ -22,7 +22,7 @@ def last_set(c: str, order: str = "t") -> Column:
 def nth_of(c: str, share: float) -> Column:
     """The value at place floor(n * share) of the sorted non-null values, at most the last; 0.5 gives the upper median."""
     values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, F.least(F.floor(F.count(c) * share) + 1, F.count(c)).cast("int"))
+    return F.try_element_at(values, F.greatest(F.lit(1), F.least(F.floor(F.count(c) * share) + 1, F.count(c))).cast("int"))
 
 
 def correlation(x: str, y: str) -> Column:
