@@ -3,7 +3,8 @@
 An n-gram is a long: its bytes, the last one lowest. Counts of the trusted texts, contexts, discounts
 and probabilities are tables keyed by n-gram and joined by it. Documents are dealt to parts of a bounded
 number of bytes; a part asks for each of its distinct n-grams once, the answers are joined from the
-model's tables, and the part's texts are scored with them.
+model's tables, and the part's texts are scored with them. While the distinct n-grams of all documents are
+at most SENT, their answers are sent to every task instead, and no text is shuffled; the scores are the same.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .common import cut, partitions
 from .passages import packed, unpack
 
 ORDER = 5
+#: Most distinct n-grams (16 bytes each), and most trusted doc_ids, that are broadcast.
+SENT, SENT_IDS = 4_000_000, 2_000_000
 #: Bytes of text in a part.
 PART = 12 << 20
 #: Share of trusted documents kept from training, one in so many, to set the thresholds.
@@ -148,45 +151,70 @@ def _asks(order: int):
     return run
 
 
+def _total(logp: np.ndarray, g: np.ndarray, text: bytes, order: int) -> float:
+    x = grams(text, order)
+    return float(logp[np.searchsorted(g, x)].sum()) if len(x) else 0.0
+
+
 def _score(order: int, columns: list[str]):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         g, logp = found.column("g").to_numpy(), found.column("logp").to_numpy()
         at = np.argsort(g)
         g, logp = g[at], logp[at]
-        sums, sizes = [], []
-        for z in docs.column("z").to_pylist():
-            x = grams(unpack(z), order)
-            sums.append(float(logp[np.searchsorted(g, x)].sum()) if len(x) else 0.0)
-            sizes.append(len(x))
-        return pa.table([*(docs.column(c) for c in columns), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], [*columns, "kn_sum", "kn_bytes"])
+        texts = [unpack(z) for z in docs.column("z").to_pylist()]
+        sums = [_total(logp, g, t, order) for t in texts]
+        return pa.table([*(docs.column(c) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "kn_sum", "kn_bytes"])
 
     return run
 
 
-def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
-    """The columns of docs but text, kn_z (the packed text), kn_sum (log probability) and kn_bytes."""
+def _score_sent(order: int, columns: list[str], sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g, logp = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                b = whole.slice(at, 512)
+                texts = [unpack(z) for z in b.column(b.schema.get_field_index("z")).to_pylist()]
+                sums = [_total(logp, g, t, order) for t in texts]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "kn_sum", "kn_bytes"])
+
+    return run
+
+
+def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER, texts: bool = True) -> DataFrame:
+    """The columns of docs but text, with kn_z (the packed text, if texts), kn_sum (log probability) and kn_bytes."""
+    spark = docs.sparkSession
     columns = [c for c in docs.columns if c != "text"]
-    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(int(-(-volume // PART)), partitions(docs.sparkSession))
     names = {c: f"c{i}" for i, c in enumerate(columns)}
-    plain = docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()])
-    dealt = cut(packed(plain, *names.values()).withColumn("part", F.pmod("r", F.lit(parts)).cast("int")).drop("r"), "dealt")
-    asked = dealt.select("part", "z").mapInArrow(_asks(order), "part int, g long")
-    asked = cut(asked.distinct(), "asked")
-    known = probabilities(asked.select("g").distinct(), tables)
-    answers = asked.join(known, "g").select("part", "g", "logp")
-    own = [*names.values(), "z"]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*own).schema)
-    out = dealt.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_score(order, own), f"{fields}, kn_sum double, kn_bytes long")
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], F.col("z").alias("kn_z"), "kn_sum", "kn_bytes")
-
-
-def _graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("kn_quality")).where("kn_quality = 1 and doc_id is not null").select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("kn_fold"))
-    marked = docs.join(trusted, "doc_id", "left")
-    tables = model(marked.where("not kn_fold").select("text"))
-    s = cut(scored(marked.select(*docs.columns, "kn_fold"), tables), "scored")
-    every = s.where("kn_fold and kn_bytes > 0")
+    dealt = packed(docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()]), *names.values())
+    own = [*names.values(), *(["z"] if texts else [])]
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*own).schema) + ", kn_sum double, kn_bytes long"
+    whole = dealt.select(F.lit(0).alias("part"), "z").mapInArrow(_asks(order), "part int, g long")
+    known = cut(probabilities(whole.select("g").distinct(), tables), "known")
+    if known.count() <= SENT:
+        answers = known.toArrow()
+        g, logp = answers.column("g").to_numpy(), answers.column("logp").to_numpy()
+        at = np.argsort(g)
+        out = dealt.mapInArrow(_score_sent(order, own, spark.sparkContext.broadcast((g[at], logp[at]))), fields)
+    else:
+        volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(-(-volume // PART)), partitions(spark))
+        dealt = cut(dealt.withColumn("part", F.pmod("r", F.lit(parts)).cast("int")).repartition(parts, "part"), "dealt")
+        asked = dealt.select("part", "z").mapInArrow(_asks(order), "part int, g long").distinct()
+        out = dealt.groupBy("part").cogroup(asked.join(known, "g").groupBy("part")).applyInArrow(_score(order, own), fields)
+    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *([F.col("z").alias("kn_z")] if texts else []), "kn_sum", "kn_bytes")
+
+
+def _ids(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SENT_IDS else df
+
+
+def _graded(docs: DataFrame, labels: DataFrame, texts: bool) -> DataFrame:
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("kn_quality")).where("kn_quality = 1 and doc_id is not null")
+    trusted = cut(trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("kn_fold")), "trusted")
+    tables = model(docs.select("doc_id", "text").join(_ids(trusted.where("not kn_fold")), "doc_id", "left_semi").select("text"))
+    s = cut(scored(docs, tables, texts=texts), "scored")
+    every = s.select("doc_id", "lang", "kn_sum", "kn_bytes").join(trusted.where("kn_fold"), "doc_id", "left_semi").where("kn_bytes > 0")
     mean = every.agg((F.sum("kn_sum") / F.sum("kn_bytes")).alias("m")).first()["m"]
     loss = -(F.col("kn_sum") + F.lit(mean) * PRIOR) / (F.col("kn_bytes") + PRIOR)
     s = s.withColumn("kn_loss", loss)
@@ -205,7 +233,7 @@ def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     language. perplexity is per byte, smoothed by PRIOR; null and empty texts have that of the average and are rejected. Without trusted
     documents every text with a byte is accepted and threshold is null.
     """
-    g = _graded(docs.select("doc_id", "text", "lang"), labels)
+    g = _graded(docs.select("doc_id", "text", "lang"), labels, texts=False)
     return g.select("doc_id", "lang", F.col("kn_bytes").alias("n_bytes"), F.exp("kn_loss").alias("perplexity"), F.exp("kn_limit").alias("threshold"), F.col("kn_ok").alias("accepted"))
 
 
@@ -219,6 +247,6 @@ def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([unpack(z).decode() for z in b.column(0).to_pylist()], pa.string()), *b.columns[1:]], ["text", *rest])
 
     rest = [c for c in docs.columns if c != "text"]
-    g = _graded(docs, labels).where("kn_ok").select("kn_z", *rest)
+    g = _graded(docs, labels, texts=True).where("kn_ok").select("kn_z", *rest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
     return g.mapInArrow(run, f"text string, {fields}").select(*docs.columns)
