@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -85,7 +86,7 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.token = {i.to_bytes(4, "little"): t for t, i in ranks.items()}
+        self.token = {i: t for t, i in ranks.items()}
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
@@ -100,8 +101,7 @@ class Codec:
             yield b"".join(map(get, p))
 
     def decode(self, ids: bytes) -> bytes:
-        at = self.token.__getitem__
-        return b"".join([at(ids[i : i + 4]) for i in range(0, len(ids), 4)])
+        return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
