@@ -27,9 +27,23 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Pairs(dict):
+    """(left id << 32 | right id) -> the id that both merge into, or -1; looked up by their bytes once. An id is its rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks, self.token = ranks, {i: t for t, i in ranks.items()}
+
+    def __missing__(self, key: int) -> int:
+        self[key] = r = self.ranks.get(self.token[key >> 32] + self.token[key & 0xFFFFFFFF], -1)
+        return r
+
+
+def replay(words: list[bytes], ranks: dict[bytes, int], pairs: Pairs | None = None) -> list[list[int]]:
     """The ids of each non-empty word."""
-    token = [bytes([c]) for w in words for c in w]
+    merge = Pairs(ranks) if pairs is None else pairs
+    single = [ranks.get(bytes([c])) for c in range(256)]
+    token = [single[c] for w in words for c in w]
     size = len(token)
     nxt, prv, first, at = list(range(1, size + 1)), list(range(-1, size - 1)), [], 0
     for w in words:
@@ -39,7 +53,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         nxt[at - 1] = -1
     index: dict[int, list[int]] = {}
     for i in range(size):
-        if (j := nxt[i]) >= 0 and (r := ranks.get(token[i] + token[j])) is not None:
+        if (j := nxt[i]) >= 0 and (r := merge[token[i] << 32 | token[j]]) >= 0:
             index.setdefault(r, []).append(i)
     heap = list(index)
     heapify(heap)
@@ -48,9 +62,9 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         r = heappop(heap)
         places = sorted(index.pop(r))  # left to right within a word, as overlapping pairs demand
         for n, i in enumerate(places):
-            if not live[i] or (j := nxt[i]) < 0 or ranks.get(both := token[i] + token[j]) != r:
+            if not live[i] or (j := nxt[i]) < 0 or merge[token[i] << 32 | token[j]] != r:
                 continue
-            token[i], live[j] = both, 0
+            token[i], live[j] = r, 0
             nxt[i] = k = nxt[j]
             near = [i]
             if k >= 0:
@@ -59,7 +73,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
                 near.append(p)
             sooner = False
             for q in near:
-                if (m := nxt[q]) >= 0 and (s := ranks.get(token[q] + token[m])) is not None:
+                if (m := nxt[q]) >= 0 and (s := merge[token[q] << 32 | token[m]]) >= 0:
                     if s not in index:
                         index[s] = []
                         heappush(heap, s)
@@ -75,7 +89,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
     for i in first:
         ids = []
         while i >= 0:
-            ids.append(ranks[token[i]])
+            ids.append(token[i])
             i = nxt[i]
         out.append(ids)
     return out
@@ -86,15 +100,16 @@ class Codec:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.token = {i: t for t, i in ranks.items()}
+        self.pairs = Pairs(ranks)
+        self.token = self.pairs.token
         self.words: dict[str, bytes] = {}
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         parts = [self.split(t) for t in texts]
         if len(self.words) > REMEMBERED:
-            self.words = {}
+            self.words, self.pairs = {}, Pairs(self.ranks)
         if new := list({w for p in parts for w in p} - self.words.keys()):
-            ids = replay([w.encode("utf-8", "replace") for w in new], self.ranks)
+            ids = replay([w.encode("utf-8", "replace") for w in new], self.ranks, self.pairs)
             self.words.update((w, b"".join(i.to_bytes(4, "little") for i in x)) for w, x in zip(new, ids, strict=True))
         get = self.words.__getitem__
         for p in parts:
