@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import half_up
-from ..functions.time import local_date
+from ..functions.time import local_date, local_hour
 from .body import busiest_hour
 from .spans import awake_spans, span_seconds
+from .style import seconds_above
 
 
 def header(df: DataFrame, windows: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
@@ -22,27 +23,89 @@ def header(df: DataFrame, windows: DataFrame, key: str = "vin", t: str = "t") ->
     return base.join(awake, key).join(rec, key).withColumn("window_days", days).drop("_a", "_b")
 
 
-def ranked(df: DataFrame, trips: DataFrame, sessions: DataFrame, tz: str, key: str = "vin") -> DataFrame:
-    """(key, ord, id, tone, value) of the facts that hold; values that need a phrase are left to the reader."""
+def overview(df: DataFrame, trips: DataFrame, sessions: DataFrame, price: float = 0.32, key: str = "vin", t: str = "t") -> DataFrame:
+    """(key, km, moving_s, kwh, kwh_100km, cost, soc_min, soc_max, signals, seconds_fast): the figures above the charts.
+
+    kwh_100km is the energy charged over the distance driven, cost its price, signals the columns with any reading and seconds_fast the time at 100 km/h or more.
+    """
+    tr = trips.groupBy(key).agg(F.sum("km").alias("km"), F.sum("moving_s").alias("moving_s"))
+    ch = sessions.groupBy(key).agg(F.sum("kwh").alias("kwh"))
+    fast = seconds_above(df, levels=(100,), key=key, t=t).select(key, F.col("seconds").alias("seconds_fast"))
+    own = [c for c in df.columns if c not in (key, t, "vmodel")]
+    base = df.groupBy(key).agg(F.min("soc").alias("soc_min"), F.max("soc").alias("soc_max"), sum((F.when(F.count(c) > 0, 1).otherwise(0) for c in own), F.lit(0)).alias("signals"))
+    out = reduce(lambda a, b: a.join(b, key, "left"), [base, tr, ch, fast]).fillna(0, ["km", "moving_s", "kwh", "seconds_fast"])
+    return out.withColumn("kwh_100km", F.try_divide(F.col("kwh"), F.col("km")) * 100).withColumn("cost", F.col("kwh") * price)
+
+
+def _extras(given: dict[str, DataFrame], key: str) -> list[DataFrame]:
+    """A row per vehicle of each optional table of ranked()."""
+    lost = F.sum("soc_lost") / F.sum("hours") * 24
+    made = {
+        "brakes": lambda x: x.groupBy(key).agg(F.max(F.abs("value")).alias("brake")),
+        "schedule": lambda x: x.select(key, F.col("hour").alias("scheduled")),
+        "limit": lambda x: x.select(key, F.col("charge_limit").alias("limit")),
+        "days": lambda x: x.groupBy(key).agg(F.sum(F.when(F.col("covered") & (F.col("km") == 0), 1).otherwise(0)).alias("idle")),
+        "drain": lambda x: x.groupBy(key).agg(lost.alias("drain"), F.count("*").alias("drains")),
+        "full_range": lambda x: x.select(key, F.col("p50").alias("range")),
+        "doors": lambda x: x.groupBy(key).agg(F.count("*").alias("opened")),
+        "empty": lambda x: x.groupBy(key).agg(F.count("*").alias("blank")),
+        "report": lambda x: x.groupBy(key).agg(F.sum("rows").alias("parsed"), F.sum("duplicates").alias("repeated")),
+        "thermal": lambda x: x.select(key, F.col("spread")),
+        "tyres": lambda x: x.select(key, F.col("r").alias("weather")),
+    }
+    if unknown := set(given) - set(made):
+        raise ValueError(f"unknown tables: {sorted(unknown)}")
+    return [made[name](x) for name, x in given.items()]
+
+
+def ranked(df: DataFrame, trips: DataFrame, sessions: DataFrame, tz: str, key: str = "vin", **more: DataFrame) -> DataFrame:
+    """(key, ord, id, tone, value) of the facts that hold; values that need a phrase are left to the reader.
+
+    more names further tables, whose facts are left out without them: brakes (top_events), schedule (scheduled_hour), limit (charge_limit),
+    days (day_buckets), drain (phantom_drain), full_range (implied_range), doors (door_events), empty (empty_columns), report (order_report),
+    thermal (pack_thermal) and tyres (tyre_weather).
+    """
+    hours = trips.select(key, local_hour("start_t", tz).alias("_h"))
+    peaks = hours.groupBy(key).agg(F.sum(F.col("_h").between(5, 9).cast("long")).alias("morning"), F.sum(F.col("_h").between(15, 19).cast("long")).alias("evening"))
     t = trips.groupBy(key).agg(F.sum("km").alias("km"), F.sum("moving_s").alias("moving"), F.max("max_speed").alias("fast"), F.max("km").alias("long"), F.count("*").alias("trips"))
     s = sessions.groupBy(key).agg(F.sum("kwh").alias("kwh"), F.max(F.col("is_dc").cast("int")).alias("dc"), F.max("max_kw").alias("kw"), F.count("*").alias("sessions"))
     hour = busiest_hour(trips, tz, key, "start_t").select(key, "hour")
+    plug = busiest_hour(sessions, tz, key, "start_t").select(key, F.col("hour").alias("plugged"))
     day = trips.groupBy(key, local_date("start_t", tz).alias("_d")).agg(F.sum("km").alias("_km")).groupBy(key).agg(F.max("_km").alias("busiest"))
     n = df.groupBy(key).agg(F.count("*").alias("samples"))
-    c = F.col
+    base = reduce(lambda a, b: a.join(b, key, "left"), [n, t, s, hour, peaks, plug, day, *_extras(more, key)])
+    c = lambda name: F.col(name) if name in base.columns else F.lit(None).cast("double")
+    both = c("morning") + c("evening")
+    some_doors = c("opened") > 0
     rules: list[tuple[str, str, Column, Column]] = [
         ("distance", "headline", c("km") > 0, c("km")),
         ("time-driving", "headline", c("moving") > 0, c("moving")),
         ("top-speed", "headline", c("fast") > 0, c("fast")),
         ("longest-trip", "headline", c("long").isNotNull(), c("long")),
+        ("hardest-brake", "headline", c("brake").isNotNull(), c("brake")),
         ("energy-charged", "headline", c("kwh") > 0, c("kwh")),
         ("departure-rhythm", "habit", c("trips") >= 4, c("hour")),
+        ("commute-shape", "habit", (c("trips") >= 4) & (c("morning") >= 5) & (c("evening") >= 5) & (both > c("trips") * 0.5), both),
+        ("scheduled-charging", "habit", c("scheduled").isNotNull(), c("scheduled")),
+        ("plug-in-habit", "habit", c("scheduled").isNull() & (c("sessions") >= 5), c("plugged")),
+        ("charge-limit", "habit", c("limit").isNotNull(), c("limit")),
         ("ac-only", "habit", (c("sessions") > 0) & (c("dc") == 0), c("kw")),
+        ("idle-days", "habit", c("idle") > 0, c("idle")),
         ("busiest-day", "habit", c("busiest") > 0, c("busiest")),
+        ("phantom-drain", "habit", c("drains") > 2, c("drain")),
+        ("implied-range", "habit", c("range").isNotNull(), c("range")),
+        ("door-rhythm", "habit", some_doors, c("opened")),
         ("sample-count", "quirk", F.lit(True), c("samples")),
+        ("empty-columns", "quirk", c("blank") > 0, c("blank")),
+        ("duplicate-rows", "quirk", c("repeated") > 0, c("repeated")),
+        ("beijing-time", "quirk", F.lit(True), F.lit(18)),
+        ("pack-spread", "quirk", c("spread") > 0, c("spread")),
+        ("tyre-weather", "quirk", F.abs(c("weather")) > 0.3, c("weather")),
         ("no-gps", "privacy", F.lit(True), F.lit(None)),
+        ("vin-repetition", "privacy", c("parsed").isNotNull() & (F.col(key).cast("string") != ""), c("parsed")),
+        ("routine-exposure", "privacy", some_doors, c("opened")),
+        ("second-resolution", "privacy", F.lit(True), F.lit(1)),
     ]
-    base = reduce(lambda a, b: a.join(b, key, "left"), [n, t, s, hour, day])
     row = lambda k, r: F.when(F.coalesce(r[2], F.lit(False)), F.struct(F.lit(k).alias("ord"), F.lit(r[0]).alias("id"), F.lit(r[1]).alias("tone"), r[3].cast("double").alias("value")))
     found = F.array_compact(F.array(*[row(k, r) for k, r in enumerate(rules)]))
     return base.select(key, F.explode(found).alias("f")).select(key, "f.*")

@@ -65,6 +65,8 @@ c0 AS (SELECT r.start_t, r.end_t, r.start_t AS s, x.*, chrg AS v FROM rn r JOIN
 c1 AS """ + _STEP.format("c0") + """, c2 AS (SELECT vin, start_t, end_t, end_t - start_t AS duration_s, max(chrg) AS max_kw, arg_min(soc, t) AS soc_start, arg_max(soc, t) AS soc_end, coalesce(sum(CASE WHEN dt > 0 AND dt <= 10 THEN (v + pv) / 2.0 * dt / 3600 END), 0) AS kwh FROM c1 GROUP BY vin, start_t, end_t),
 sessions AS (SELECT *, soc_end - soc_start AS soc_gain, max_kw > 22 AS is_dc, CASE WHEN duration_s > 0 THEN kwh * 3600 / duration_s END AS avg_kw FROM c2 WHERE duration_s >= 300 OR coalesce(soc_end - soc_start >= 1, false))"""
 _BOTH = _TRIPS + _CHARGE
+_DRAIN = """, gp2 AS (SELECT vin, lag(end_t) OVER (PARTITION BY vin ORDER BY start_t) AS from_t, start_t AS to_t FROM trips), gq AS (SELECT * FROM gp2 g WHERE to_t - from_t >= 21600 AND NOT EXISTS (SELECT 1 FROM sessions x WHERE x.vin % 2 = 0 AND x.vin = g.vin AND x.end_t >= g.from_t AND x.start_t <= g.to_t)),
+dz AS (SELECT g.*, a.soc AS soc_start, b.soc AS soc_end, (to_t - from_t) / 3600.0 AS hours FROM gq g JOIN tel a ON a.vin = g.vin AND a.t = g.from_t JOIN tel b ON b.vin = g.vin AND b.t = g.to_t)"""
 _WINDOWS = "windows AS (SELECT vin, min(t) AS start_t, max(t) AS end_t FROM tel GROUP BY vin)"
 
 
@@ -150,6 +152,22 @@ def _ranked(t: DataFrame) -> DataFrame:
     return t.withColumn("n", F.row_number().over(W.orderBy(F.desc_nulls_last("x"), "start_t", "vin")))
 
 
+def _even(sessions: DataFrame) -> DataFrame:
+    """Every long stop of tel has a session; without those of odd vehicles some stops drain."""
+    return sessions.where("vin % 2 = 0")
+
+
+def _facts(s, d):
+    """All rules: the tables that tel has no columns for are made up by vehicle."""
+    x, tr, ch, w = tel(s, d), _trips(s, d), _sessions(s, d), _windows(s, d)
+    vins = x.select("vin").distinct()
+    return facts.ranked(
+        x, tr, ch, TZ, brakes=style.top_events(x, "curr", 1, -1), schedule=charging.scheduled_hour(ch, TZ), limit=vins.select("vin", F.when(F.col("vin") % 2 == 0, 80).alias("charge_limit")), days=calendar.day_buckets(x, tr, ch, w, TZ), drain=battery.phantom_drain(x, _even(ch), tr, w),
+        full_range=battery.implied_range(x.withColumn("km", F.col("soc") * 4.0 + F.col("t") % 50), "km"), doors=_doors(s, d), empty=decode.empty_columns(x.withColumn("blank", F.when(F.col("vin") != 2, F.col("odo"))), ["speed", "blank"]),
+        report=timeline.order_report(x.withColumn("part", F.lit(0)).unionByName(x.where("t % 5 = 0").withColumn("part", F.lit(1))), order=("part", "t")), thermal=battery.pack_thermal(x, "speed", "curr"), tyres=vins.select("vin", F.when(F.col("vin") == 1, -0.5).otherwise(0.2).alias("r")),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "decode_sentinels": Query(
         "vin:l t:l speed:d volt:d tyre:d",
@@ -224,9 +242,8 @@ EXISTS (SELECT 1 FROM b WHERE b.vin = dy.vin AND b.a < epoch(CAST(dy.day AS TIME
     "top_events": Query("vin:l rank:l t:l value:d", lambda s, d: style.top_events(tel(s, d), "curr", 10, -1, 60), _TOP),
     "event_trip_lookup": Query("vin:l t:l trip_start_t:l", lambda s, d: style.in_trip(tel(s, d).where("t % 97 = 0").select("vin", "t"), _trips(s, d)), _TRIPS + ";; SELECT x.vin, x.t, y.start_t AS trip_start_t FROM (SELECT vin, t FROM tel WHERE t % 97 = 0) x LEFT JOIN trips y ON x.vin = y.vin AND x.t BETWEEN y.start_t AND y.end_t"),
     "phantom_drain": Query(
-        "vin:l from_t:l to_t:l hours:d soc_start:l soc_end:l soc_lost:l per_day:d", lambda s, d: battery.phantom_drain(tel(s, d), _sessions(s, d), _trips(s, d), _windows(s, d)),
-        _BOTH + """, gp2 AS (SELECT vin, lag(end_t) OVER (PARTITION BY vin ORDER BY start_t) AS from_t, start_t AS to_t FROM trips), gq AS (SELECT * FROM gp2 g WHERE to_t - from_t >= 21600 AND NOT EXISTS (SELECT 1 FROM sessions x WHERE x.vin = g.vin AND x.end_t >= g.from_t AND x.start_t <= g.to_t)),
-dz AS (SELECT g.*, a.soc AS soc_start, b.soc AS soc_end, (to_t - from_t) / 3600.0 AS hours FROM gq g JOIN tel a ON a.vin = g.vin AND a.t = g.from_t JOIN tel b ON b.vin = g.vin AND b.t = g.to_t);;
+        "vin:l from_t:l to_t:l hours:d soc_start:l soc_end:l soc_lost:l per_day:d", lambda s, d: battery.phantom_drain(tel(s, d), _even(_sessions(s, d)), _trips(s, d), _windows(s, d)),
+        _BOTH + _DRAIN + """;;
 SELECT *, soc_start - soc_end AS soc_lost, (soc_start - soc_end) / hours * 24 AS per_day FROM dz WHERE soc_start >= soc_end""",
     ),
     "stride_sample": Query("vin:l t:l", lambda s, d: battery.stride_sample(ev(s, d).select("vin", "t"), 36000, ["vin"]), "RECURSIVE " + _EV + ", " + _stride("ev", 36000, "vin") + ";; SELECT vin, t FROM picked"),
@@ -261,13 +278,29 @@ m AS (SELECT *, coalesce(lead(t) OVER (ORDER BY k), t + f) AS nx FROM l), w AS (
         "vin:l window_days:l rows:l coverage_s:l recorded_s:l odo_start:l odo_end:l", lambda s, d: facts.header(tel(s, d), _windows(s, d)),
         _AW + ", c AS (SELECT vin, sum(end_t - start_t) AS cs FROM sp GROUP BY vin);; SELECT vin, greatest(1, floor((max(t) - min(t)) / 86400.0 + 0.5)) AS window_days, count(*) AS rows, any_value(cs) AS coverage_s, greatest(1, max(t) - min(t)) AS recorded_s, min(odo) AS odo_start, max(odo) AS odo_end FROM tel JOIN c USING (vin) GROUP BY vin",
     ),
+    "overview": Query(
+        "vin:l km:d moving_s:l kwh:d kwh_100km:d cost:d soc_min:l soc_max:l signals:l seconds_fast:l", lambda s, d: facts.overview(tel(s, d).withColumn("speed", F.col("speed") * 2), _trips(s, d), _sessions(s, d)),
+        _BOTH + """, tt AS (SELECT vin, sum(km) AS km, sum(moving_s) AS moving_s FROM trips GROUP BY vin), ss AS (SELECT vin, sum(kwh) AS kwh FROM sessions GROUP BY vin), b AS (SELECT vin, min(soc) AS soc_min, max(soc) AS soc_max FROM tel GROUP BY vin),
+ff AS (SELECT vin, sum(coalesce(t - pt, 1)) AS n FROM gp WHERE speed * 2 >= 100 AND coalesce(t - pt, 1) BETWEEN 1 AND 10 GROUP BY vin);;
+SELECT b.*, coalesce(km, 0) AS km, coalesce(moving_s, 0) AS moving_s, coalesce(kwh, 0) AS kwh, coalesce(kwh, 0) / km * 100 AS kwh_100km, coalesce(kwh, 0) * 0.32 AS cost, 9 AS signals, coalesce(n, 0) AS seconds_fast FROM b LEFT JOIN tt USING (vin) LEFT JOIN ss USING (vin) LEFT JOIN ff USING (vin)""",
+    ),
     "facts": Query(
-        "vin:l id:s tone:s value:d", lambda s, d: facts.ranked(tel(s, d), _trips(s, d), _sessions(s, d), TZ),
-        _BOTH + f""", tt AS (SELECT vin, sum(km) AS km, sum(moving_s) AS mv, max(max_speed) AS ms, count(*) AS n, max(km) AS lk FROM trips GROUP BY vin), ss AS (SELECT vin, sum(kwh) AS kwh, count(*) AS n, max(CAST(is_dc AS INT)) AS dc, max(max_kw) AS mk FROM sessions GROUP BY vin),
+        "vin:l id:s tone:s value:d", _facts,
+        "RECURSIVE " + _BOTH + ", ok AS (SELECT vin, t, (soc * 4.0 + t % 50) / soc * 100 AS v FROM tel WHERE soc BETWEEN 30 AND 95 AND soc * 4.0 + t % 50 > 0), " + _stride("ok", 600, "vin") + _DOORS.removeprefix(_TEL) + _DRAIN + f""", tt AS (SELECT vin, sum(km) AS km, sum(moving_s) AS mv, max(max_speed) AS ms, count(*) AS n, max(km) AS lk FROM trips GROUP BY vin), ss AS (SELECT vin, sum(kwh) AS kwh, count(*) AS n, max(CAST(is_dc AS INT)) AS dc, max(max_kw) AS mk FROM sessions GROUP BY vin),
 hh AS (SELECT vin, hour({LOCAL('start_t')}) AS h, count(*) AS n FROM trips GROUP BY ALL), hr AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY n DESC, h) AS r, sum(n) OVER (PARTITION BY vin) AS tot FROM hh),
-bd AS (SELECT vin, max(km) AS km FROM (SELECT vin, CAST({LOCAL('start_t')} AS DATE) AS d, sum(km) AS km FROM trips GROUP BY ALL) GROUP BY vin);;
+bd AS (SELECT vin, max(km) AS km FROM (SELECT vin, CAST({LOCAL('start_t')} AS DATE) AS d, sum(km) AS km FROM trips GROUP BY ALL) GROUP BY vin),
+cm AS (SELECT vin, count(*) FILTER (hour({LOCAL('start_t')}) BETWEEN 5 AND 9) AS m, count(*) FILTER (hour({LOCAL('start_t')}) BETWEEN 15 AND 19) AS e, count(*) AS n FROM trips GROUP BY vin),
+ch AS (SELECT vin, hour({LOCAL('start_t')}) AS h, count(*) AS n FROM sessions GROUP BY ALL), cr AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY n DESC, h) AS r, sum(n) OVER (PARTITION BY vin) AS tot FROM ch), cs AS (SELECT *, tot >= 4 AND n >= 3 AND n / tot >= 0.3 AS timed FROM cr WHERE r = 1),
+dm AS (SELECT vin, count(*) AS n FROM (SELECT DISTINCT vin, CAST({LOCAL('u')} AS DATE) AS day FROM (SELECT vin, unnest(range(a, b + 43201, 43200)) AS u FROM (SELECT vin, min(t) AS a, max(t) AS b FROM tel GROUP BY vin))) q JOIN (SELECT vin AS v, min(t) AS a, max(t) AS b FROM tel GROUP BY vin) z ON q.vin = z.v
+  WHERE z.a < epoch(CAST(q.day AS TIMESTAMP) AT TIME ZONE '{TZ}') + 86400 AND z.b > epoch(CAST(q.day AS TIMESTAMP) AT TIME ZONE '{TZ}') AND NOT EXISTS (SELECT 1 FROM trips y WHERE y.vin = q.vin AND CAST({LOCAL('y.start_t')} AS DATE) = q.day AND y.km > 0) GROUP BY vin);;
 SELECT vin, 'distance' AS id, 'headline' AS tone, km AS value FROM tt WHERE km > 0 UNION ALL SELECT vin, 'time-driving', 'headline', mv FROM tt WHERE mv > 0 UNION ALL SELECT vin, 'top-speed', 'headline', ms FROM tt WHERE ms > 0 UNION ALL SELECT vin, 'longest-trip', 'headline', lk FROM tt
 UNION ALL SELECT vin, 'energy-charged', 'headline', kwh FROM ss WHERE kwh > 0 UNION ALL SELECT vin, 'departure-rhythm', 'habit', h FROM hr WHERE r = 1 AND tot >= 4 UNION ALL SELECT vin, 'ac-only', 'habit', mk FROM ss WHERE dc = 0 UNION ALL SELECT vin, 'busiest-day', 'habit', km FROM bd WHERE km > 0
-UNION ALL SELECT vin, 'sample-count', 'quirk', count(*) FROM tel GROUP BY vin UNION ALL SELECT vin, 'no-gps', 'privacy', NULL FROM tel GROUP BY vin""",
+UNION ALL SELECT vin, 'hardest-brake', 'headline', abs(min(curr)) FROM tel GROUP BY vin UNION ALL SELECT vin, 'commute-shape', 'habit', m + e FROM cm WHERE n >= 4 AND m >= 5 AND e >= 5 AND m + e > n * 0.5
+UNION ALL SELECT vin, 'scheduled-charging', 'habit', h FROM cs WHERE timed UNION ALL SELECT vin, 'plug-in-habit', 'habit', h FROM cs WHERE NOT timed AND tot >= 5 UNION ALL SELECT vin, 'charge-limit', 'habit', 80 FROM tel WHERE vin % 2 = 0 GROUP BY vin
+UNION ALL SELECT vin, 'idle-days', 'habit', n FROM dm UNION ALL SELECT vin, 'phantom-drain', 'habit', sum(soc_start - soc_end) / sum(hours) * 24 FROM dz WHERE soc_start >= soc_end GROUP BY vin HAVING count(*) > 2
+UNION ALL SELECT vin, 'implied-range', 'habit', list_sort(list(v))[CAST(least(count(*), floor(count(*) * 0.5) + 1) AS BIGINT)] FROM picked GROUP BY vin UNION ALL SELECT vin, unnest(['door-rhythm', 'routine-exposure']), unnest(['habit', 'privacy']), count(*) FROM doors GROUP BY vin
+UNION ALL SELECT DISTINCT vin, 'empty-columns', 'quirk', 1 FROM tel WHERE vin = 2 UNION ALL SELECT vin, 'duplicate-rows', 'quirk', count(*) FROM tel WHERE t % 5 = 0 GROUP BY vin UNION ALL SELECT vin, 'vin-repetition', 'privacy', count(*) + count(*) FILTER (t % 5 = 0) FROM tel GROUP BY vin
+UNION ALL SELECT DISTINCT vin, unnest(['beijing-time', 'second-resolution']), unnest(['quirk', 'privacy']), unnest([18, 1]) FROM tel UNION ALL SELECT vin, 'pack-spread', 'quirk', max(speed - curr) FROM tel GROUP BY vin HAVING max(speed - curr) > 0
+UNION ALL SELECT vin, 'tyre-weather', 'quirk', -0.5 FROM tel WHERE vin = 1 GROUP BY vin UNION ALL SELECT vin, 'sample-count', 'quirk', count(*) FROM tel GROUP BY vin UNION ALL SELECT vin, 'no-gps', 'privacy', NULL FROM tel GROUP BY vin""",
     ),
 }
