@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts in an Arrow batch.
+TEXTS = 1024
 _own_dir: str | None = None
 
 
@@ -29,11 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, lineage ended, safe when executors are lost."""
+def cut(df: DataFrame, name: str = "cut", batch: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: computed once, lineage ended, safe when executors are lost.
+
+    batch: the most rows that one Arrow batch holds meanwhile, for steps that pass whole texts to Python.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(BATCH_ROWS)
+    if batch:
+        spark.conf.set(BATCH_ROWS, str(min(batch, int(before)) if int(before) > 0 else batch))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        if batch:
+            spark.conf.set(BATCH_ROWS, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, row_key
+from .common import TEXTS, cut, partitions, row_key
 
 #: Contexts of one anchor that one task may gather.
 GROUP = 4096
@@ -263,7 +263,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only
     """
     spark = docs.sparkSession
     keyed = docs.select(_key(docs).alias("r"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "text").where(F.octet_length("text") >= units.window)
-    occ = cut(keyed.mapInArrow(_spot(units), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences")
+    occ = cut(keyed.mapInArrow(_spot(units), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences", TEXTS)
     contexts = occ.groupBy("c").agg(F.count("*").alias("k"), F.min("d").alias("m"), F.min("o").alias("o"), F.min("a").alias("a"))
     shared = contexts.withColumn("g", F.count("*").over(W.partitionBy("a"))).where("g > 1 or k > 1")
     found = cut(occ.drop("a").join(shared.select("c", "a", "k", "m", "g", F.col("o").alias("first")), "c"), "found")
@@ -274,7 +274,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only
     texts = packed(docs.where(F.octet_length("text") >= units.window))
     fetched = texts.join(wanted, "r").select("z", "wanted").mapInArrow(_fetch(units), "a long, c long, m long, k long, n int, p int, u binary")
     large = found.where(f"o = first and g > {GROUP}").select("a").distinct()
-    fetched = cut(fetched.dropDuplicates(["c"]), "contexts")
+    fetched = cut(fetched.dropDuplicates(["c"]), "contexts", TEXTS)
     usual = fetched.join(large, "a", "left_anti").repartition(partitions(spark), "a").sortWithinPartitions("a")
     settled = usual.mapInArrow(_resolve(units, resolver), "c long, i int, j int")
     windows = fetched.join(large, "a", "left_semi").mapInArrow(_windows(units), "w long, c long, m long, k long, i int")
