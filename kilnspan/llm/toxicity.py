@@ -36,7 +36,8 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h = np.zeros(len(line), np.uint64)
     for n in range(1, max(GRAMS) + 1):
         ahead = np.zeros(len(line), np.uint64)
-        ahead[: len(line) - n + 1] = line[n - 1 :]
+        left = max(0, len(line) - n + 1)
+        ahead[:left] = line[len(line) - left :]
         h = (h + ahead + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(32)
         if n in GRAMS:
