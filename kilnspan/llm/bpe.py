@@ -1,6 +1,6 @@
-"""Byte-level BPE by merge replay over the distinct words of a partition.
+"""Byte-level BPE by merge replay over the distinct words of a worker's partitions.
 
-The text is split by the tokenizer's pattern. Words not met before in the task are encoded
+The text is split by the tokenizer's pattern. Words not met before in the Python worker are encoded
 together: an index maps each rank to the positions of the pairs that merge into it, the lowest
 rank is applied everywhere at once, and only the pairs at the touched neighbours are looked up anew. Every other
 occurrence of a word takes its ids from the table of words.
@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -18,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-#: Words whose ids a task remembers; beyond it the table starts anew, which costs time and changes no result.
+#: Words whose ids a worker remembers; beyond it the table starts anew, which costs time and changes no result.
 REMEMBERED = 1_000_000
 
 
@@ -119,6 +121,12 @@ class Codec:
         return b"".join(map(self.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+@lru_cache(maxsize=1)
+def codec_of(path: str, pattern: str, changed: int) -> Codec:
+    """The worker's codec, words included, for all tasks that it runs; a changed rank file makes another."""
+    return Codec(load_ranks(path), pattern)
+
+
 def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids) or, with digests, (doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of docs (doc_id, text).
 
@@ -128,7 +136,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(load_ranks(path), pattern)
+        codec = codec_of(path, pattern, os.stat(path).st_mtime_ns)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
