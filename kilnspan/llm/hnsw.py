@@ -12,8 +12,8 @@ from .components import components
 
 #: Vectors of a graph; links of a node above the ground layer (twice as many on it); first beam; share of links that audits must find.
 SHARD, LINKS, BEAM, RECALL = 8192, 12, 48, 0.99
-#: Own vectors that an audit compares with the whole shard, and queries of other shards that share a task with one graph.
-AUDIT, VISITORS = 256, 16 * SHARD
+#: Queries that an audit compares with the whole shard at once, links to other vectors that it needs, and queries of other shards that share a task with one graph.
+AUDIT, ENOUGH, VISITORS = 256, 1000, 16 * SHARD
 
 
 class Graph:
@@ -135,20 +135,40 @@ class Graph:
         return out
 
 
-def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
-    """For each query the members at cosine least or more, in double precision; the beam widens until an audit of own vectors finds RECALL of their links."""
+def exact_links(x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+    """For each query the members at cosine least or more, by comparing all of them in blocks."""
+    return [np.flatnonzero(near) for at in range(0, len(q), AUDIT) for near in q[at : at + AUDIT] @ x.T >= least]
+
+
+def links_of(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, recall: float = RECALL) -> list[np.ndarray]:
+    """For each query the members at cosine least or more, in double precision; the beam widens until an audit of queries finds that share of their links.
+
+    Queries are compared exactly until they have ENOUGH links (the members' own, if q is x, without the match with themselves); they keep
+    those, and so do all if the links run out first or no beam narrower than the shard passes.
+    """
     margin = least - 1e-5  # float32 may lose a little
-    pick = np.random.default_rng(11).choice(len(x), min(AUDIT, len(x)), replace=False)
-    truth = x[pick] @ x.T >= least
+    order = np.random.default_rng(11).permutation(len(q))
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(q)
+    links = done = 0
+    while done < len(q) and links < ENOUGH:
+        part = order[done : done + AUDIT]
+        for i, a in zip(part, exact_links(x, q[part], least), strict=True):
+            out[i] = a
+            links += len(a) - (q is x)
+        done += len(part)
+    audited, rest = order[:done], order[done:]
     width = BEAM
-    while width < len(x):
-        found = graph.search(graph.x[pick], width, margin)
-        hit = sum(truth[i, a].sum() for i, a in enumerate(found))
-        if hit >= RECALL * truth.sum():
-            break
+    while len(rest) and width < len(x):
+        found = graph.search(q[audited].astype(np.float32), width, margin)
+        hit = sum(len(np.intersect1d(out[i], a)) - (q is x and i in a) for i, a in zip(audited, found, strict=True))
+        if hit >= recall * links:
+            for i, a in zip(rest, graph.search(q[rest].astype(np.float32), width, margin), strict=True):
+                out[i] = a[x[a] @ q[i] >= least] if len(a) else a
+            return out
         width *= 2
-    out = graph.search(q.astype(np.float32), width, margin)
-    return [a[x[a] @ q[i] >= least] if len(a) else a for i, a in enumerate(out)]
+    for i, a in zip(rest, exact_links(x, q[rest], least), strict=True):
+        out[i] = a
+    return out
 
 
 _FOUND = "a long, n long, root long"
@@ -156,7 +176,7 @@ _FOUND = "a long, n long, root long"
 
 def _shard(least: float):
     def run(t: pa.Table) -> pa.Table:
-        """Members and visiting queries of one graph -> for each query a its links' copies n, and its smallest node in the task's own forest."""
+        """Members and visiting queries of one graph -> for each a of both its links' copies n, and its smallest node in the task's own forest."""
         ids = t.column("a").to_numpy()
         copies = t.column("copies").to_numpy()
         member = t.column("member").to_numpy(zero_copy_only=False)
@@ -167,11 +187,22 @@ def _shard(least: float):
         if not len(own):
             return pa.table({"a": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
         own = own[np.argsort(ids[own])]
-        found = links_of(Graph(x[own]), x[own], x, least)
-        links = [set(own[f].tolist()) - {i} for i, f in enumerate(found)]
-        for i in own.tolist():  # between members a link found from one side holds for both
+        visit = np.flatnonzero(~member)
+        graph, mine = Graph(x[own]), x[own]
+        links: list[set[int]] = [set() for _ in ids]
+        for i, f in zip(own.tolist(), links_of(graph, mine, mine, least), strict=True):
+            links[i] = set(own[f].tolist()) - {i}
+        for i in own.tolist():  # a link found from one side holds for both
             for j in links[i]:
                 links[j].add(i)
+        # a pair of shards meets in one task only: its audit asks for what a search from either side would find
+        here = t.column("part").to_numpy() == t.column("p").to_numpy()
+        n = [sum(int(copies[j]) for j in js) if h else 0 for js, h in zip(links, here, strict=True)]
+        for i, f in zip(visit.tolist(), links_of(graph, mine, x[visit], least, 1 - (1 - RECALL) ** 2), strict=True):
+            links[i] = set(own[f].tolist())
+            n[i] = int(copies[own[f]].sum())
+            for j in links[i]:
+                n[j] += int(copies[i])
         root = list(range(len(ids)))
 
         def find(i: int) -> int:
@@ -185,9 +216,8 @@ def _shard(least: float):
                 if p != q:
                     lo, hi = (p, q) if ids[p] < ids[q] else (q, p)
                     root[hi] = lo
-        # members come to every part of their shard and are reported by their own
-        out = np.flatnonzero(t.column("part").to_numpy() == t.column("p").to_numpy()).tolist()
-        return pa.table({"a": pa.array(ids[out], pa.int64()), "n": pa.array([int(sum(copies[j] for j in links[i])) for i in out], pa.int64()), "root": pa.array([int(ids[find(i)]) for i in out], pa.int64())})
+        # members come to every part of their shard: each reports their visitors' copies, their own part the members' too
+        return pa.table({"a": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64()), "root": pa.array([int(ids[find(i)]) for i in range(len(ids))], pa.int64())})
 
     return run
 
@@ -197,7 +227,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
 
     Rows link at cosine least or more if their labels are equal and not null and their vectors as long. Null, empty and zero vectors, and those with
     null or non-finite components, link with nothing, nor do rows without an id. Equal vectors are searched once and count as often as they occur (repeated rows too).
-    Each label's distinct vectors are dealt to shards of about SHARD; every vector queries every shard of its label.
+    Each label's distinct vectors are dealt to shards of about SHARD; of each two shards of a label the vectors of one query the other, and a link counts for both.
     """
     v = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists("e", lambda c: c != 0), F.lit(False))
@@ -207,9 +237,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     home = F.pmod(F.xxhash64("a", F.lit(1)), F.col("shards")).cast("int")
     part = F.pmod(F.xxhash64("a", F.lit(2)), F.col("parts")).cast("int")
     dealt = classes.join(shards, ["label", "d"]).withColumn("home", home).withColumn("part", part)
-    # members go to every part of their own shard, visitors to their part of the other shards
+    # members go to every part of their own shard, visitors to their part of the other shards, of each two in one direction that evens out
+    asks = F.when((F.col("shard") + F.col("home")) % 2 == 1, F.col("shard") < F.col("home")).otherwise(F.col("shard") > F.col("home"))
     members = dealt.withColumn("shard", F.col("home")).withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("member", F.lit(True))
-    visitors = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where("shard <> home").withColumn("p", F.col("part")).withColumn("member", F.lit(False))
+    visitors = dealt.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).where(asks).withColumn("p", F.col("part")).withColumn("member", F.lit(False))
     columns = ["label", "d", "shard", "p", "a", "copies", "e", "member", "part"]
     grouped = members.select(columns).unionByName(visitors.select(columns))
     found = grouped.groupBy("label", "d", "shard", "p").applyInArrow(_shard(least), _FOUND)

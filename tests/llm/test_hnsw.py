@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from kilnspan.llm import hnsw
@@ -64,3 +65,41 @@ def test_a_cluster_wider_than_the_beam():
 
 def test_no_rows(spark):
     assert hnsw.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_the_audit_does_not_count_a_vector_with_itself():
+    class Blind(hnsw.Graph):
+        """Finds nothing but the queries themselves."""
+
+        def search(self, q, width, least):
+            return [np.flatnonzero(s > 1 - 1e-5) for s in q @ self.x.T]
+
+    r = np.random.default_rng(7)
+    x = r.normal(0, 1, (2000, 32))
+    x[1000:1269] = x[:269] + r.normal(0, 0.05, (269, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for q in (x, x[::2].copy()):
+        found = hnsw.links_of(Blind(x), x, q, 0.93)
+        assert [f.tolist() for f in found] == [np.flatnonzero(t).tolist() for t in q @ x.T >= 0.93]
+
+
+def test_a_beam_that_finds_no_links_never_passes():
+    class Blind(hnsw.Graph):
+        def search(self, q, width, least):
+            return [np.flatnonzero(s > 1 - 1e-5) for s in q @ self.x.T]
+
+    r = np.random.default_rng(8)
+    x = np.repeat(r.normal(0, 1, (400, 16)), 5, 0) + r.normal(0, 0.02, (2000, 16))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = hnsw.links_of(Blind(x), x, x, 0.93)
+    assert sum(map(len, found)) == (x @ x.T >= 0.93).sum()
+
+
+def test_links_between_shards_count_for_both():
+    r = np.random.default_rng(9)
+    x = r.normal(0, 1, (30, 8))
+    x[20:] = x[:10] + r.normal(0, 0.01, (10, 8))
+    part = pa.array([0] * 20 + [1] * 10)
+    t = pa.table({"a": pa.array(range(30)), "copies": pa.array([2] * 20 + [3] * 10), "e": pa.array(x.tolist()), "member": pa.array([True] * 20 + [False] * 10), "part": part, "p": pa.array([1] * 30)})
+    got = {a: (n, root) for a, n, root in zip(*(c.to_pylist() for c in hnsw._shard(0.99)(t).columns), strict=True)}
+    assert got == {i: (3, i) if i < 10 else (0, i) if i < 20 else (2, i - 20) for i in range(30)}
