@@ -62,6 +62,10 @@ def top_events(df: DataFrame, value: str, count: int = 10, sign: int = 1, spacin
 
 
 def in_trip(events: DataFrame, trips: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
-    """events with trip_start_t of the trip that holds them, else null."""
-    tr = trips.select(F.col(key).alias("_k"), F.col("start_t").alias("trip_start_t"), F.col("end_t").alias("_e"))
-    return events.join(tr, (F.col(key) == F.col("_k")) & (F.col(t) >= F.col("trip_start_t")) & (F.col(t) <= F.col("_e")), "left").drop("_k", "_e")
+    """events with trip_start_t of the trip that holds them, else null; trips are disjoint, so the last one begun is the only candidate."""
+    marks = trips.select(F.col(key), F.col("start_t").alias(t), F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.lit(0).alias("_kind"))
+    both = events.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+    w = W.partitionBy(key).orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0)
+    both = both.withColumn("_last", F.last("_s", True).over(w)).withColumn("_until", F.last("_e", True).over(w))
+    found = F.when(F.col(t) <= F.col("_until"), F.col("_last"))
+    return both.where("_kind = 1").withColumn("trip_start_t", found).select(*events.columns, "trip_start_t")

@@ -241,6 +241,7 @@ EXISTS (SELECT 1 FROM b WHERE b.vin = dy.vin AND b.a < epoch(CAST(dy.day AS TIME
     "speed_peak": Query("vin:l max_speed:l max_speed_t:l", lambda s, d: style.speed_profile(tel(s, d)), _TEL + ", m AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY speed DESC NULLS LAST, t) AS r FROM tel);; SELECT vin, speed AS max_speed, t AS max_speed_t FROM m WHERE r = 1"),
     "top_events": Query("vin:l rank:l t:l value:d", lambda s, d: style.top_events(tel(s, d), "curr", 10, -1, 60), _TOP),
     "event_trip_lookup": Query("vin:l t:l trip_start_t:l", lambda s, d: style.in_trip(tel(s, d).where("t % 97 = 0").select("vin", "t"), _trips(s, d)), _TRIPS + ";; SELECT x.vin, x.t, y.start_t AS trip_start_t FROM (SELECT vin, t FROM tel WHERE t % 97 = 0) x LEFT JOIN trips y ON x.vin = y.vin AND x.t BETWEEN y.start_t AND y.end_t"),
+    "event_trip_lookup_all": Query("vin:l t:l trip_start_t:l", lambda s, d: style.in_trip(tel(s, d).select("vin", "t"), _trips(s, d)), _TRIPS + ";; SELECT x.vin, x.t, y.start_t AS trip_start_t FROM tel x LEFT JOIN trips y ON x.vin = y.vin AND x.t BETWEEN y.start_t AND y.end_t"),
     "phantom_drain": Query(
         "vin:l from_t:l to_t:l hours:d soc_start:l soc_end:l soc_lost:l per_day:d", lambda s, d: battery.phantom_drain(tel(s, d), _even(_sessions(s, d)), _trips(s, d), _windows(s, d)),
         _BOTH + _DRAIN + """;;

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kilnspan.functions import numbers
 from kilnspan.functions import time as tm
 from kilnspan.operators import battery, body, charging, decode, energy, spans, style, timeline, trips
+from kilnspan.plans import queries
 
 
 def frame(spark, t, **columns):
@@ -159,3 +160,13 @@ def test_decode(spark):
     got = f.select(decode.decode(F.col("s"), "u8", 1.0, (255.0,)), decode.decode(F.col("a"), "i16", 0.1, (2496.7,)), decode.decode(F.col("p"), "u16", 0.25, (0.0, 701.25)), numbers.half_up(F.col("h"))).collect()
     assert got[0][0] is None and got[0][1] is None and got[0][2] == 255.75 and got[0][3] == -2
     assert got[1][0] == 85 and got[1][1] == pytest.approx(-12.3) and got[1][2] is None and got[1][3] == 3
+
+
+def test_every_moment_gets_its_trip(spark):
+    df = frame(spark, range(12), x=[0] * 12).unionByName(frame(spark, [5], x=[0]).withColumn("vin", F.lit(2)))
+    tr = spark.createDataFrame([(1, 2, 4), (1, 5, 5), (1, 8, 9), (3, 0, 99)], "vin int, start_t long, end_t long")
+    held = {2: 2, 3: 2, 4: 2, 5: 5, 8: 8, 9: 8}
+    assert sorted(map(tuple, style.in_trip(df.select("vin", "t"), tr).collect())) == [(1, t, held.get(t)) for t in range(12)] + [(2, 5, None)]
+    d = "/root/testdata/sf0.001"
+    got = queries.QUERIES["event_trip_lookup_all"].run(spark, d)
+    assert got.count() == queries.tel(spark, d).count() and got.where("trip_start_t is not null and t % 97 <> 0").count() > 0
