@@ -157,14 +157,16 @@ def _even(sessions: DataFrame) -> DataFrame:
     return sessions.where("vin % 2 = 0")
 
 
-def _facts(s, d):
-    """All rules: the tables that tel has no columns for are made up by vehicle."""
+def _facts(s, d, whole=False):
+    """All rules; unless whole, charge limits and tyres are made up by vehicle and drain leaves out sessions."""
     x, tr, ch, w = tel(s, d), _trips(s, d), _sessions(s, d), _windows(s, d)
     vins = x.select("vin").distinct()
+    limit = charging.charge_limit(ch, tr) if whole else vins.select("vin", F.when(F.col("vin") % 2 == 0, 80).alias("charge_limit"))
+    tyres = body.tyre_weather(_tyres(s, d), ["fl", "fr"], "temp") if whole else vins.select("vin", F.when(F.col("vin") == 1, -0.5).otherwise(0.2).alias("r"))
     return facts.ranked(
-        x, tr, ch, TZ, brakes=style.top_events(x, "curr", 1, -1), schedule=charging.scheduled_hour(ch, TZ), limit=vins.select("vin", F.when(F.col("vin") % 2 == 0, 80).alias("charge_limit")), days=calendar.day_buckets(x, tr, ch, w, TZ), drain=battery.phantom_drain(x, _even(ch), tr, w),
+        x, tr, ch, TZ, brakes=style.top_events(x, "curr", 1, -1), schedule=charging.scheduled_hour(ch, TZ), limit=limit, days=calendar.day_buckets(x, tr, ch, w, TZ), drain=battery.phantom_drain(x, ch if whole else _even(ch), tr, w),
         full_range=battery.implied_range(x.withColumn("km", F.col("soc") * 4.0 + F.col("t") % 50), "km"), doors=_doors(s, d), empty=decode.empty_columns(x.withColumn("blank", F.when(F.col("vin") != 2, F.col("odo"))), ["speed", "blank"]),
-        report=timeline.order_report(x.withColumn("part", F.lit(0)).unionByName(x.where("t % 5 = 0").withColumn("part", F.lit(1))), order=("part", "t")), thermal=battery.pack_thermal(x, "speed", "curr"), tyres=vins.select("vin", F.when(F.col("vin") == 1, -0.5).otherwise(0.2).alias("r")),
+        report=timeline.order_report(x.withColumn("part", F.lit(0)).unionByName(x.where("t % 5 = 0").withColumn("part", F.lit(1))), order=("part", "t")), thermal=battery.pack_thermal(x, "speed", "curr"), tyres=tyres,
     )
 
 
@@ -305,3 +307,24 @@ UNION ALL SELECT DISTINCT vin, unnest(['beijing-time', 'second-resolution']), un
 UNION ALL SELECT vin, 'tyre-weather', 'quirk', -0.5 FROM tel WHERE vin = 1 GROUP BY vin UNION ALL SELECT vin, 'sample-count', 'quirk', count(*) FROM tel GROUP BY vin UNION ALL SELECT vin, 'no-gps', 'privacy', NULL FROM tel GROUP BY vin""",
     ),
 }
+
+# the same over all sessions; facts from the operators' own charge limits and tyres
+_ALL_LIMITS = """, lst AS (SELECT * FROM sessions x WHERE soc_gain >= 1 AND NOT EXISTS (SELECT 1 FROM trips y WHERE y.vin = x.vin AND y.start_t >= x.end_t AND y.start_t < x.end_t + 1800)), llv AS (SELECT vin, floor(soc_end + 0.5) AS l, count(*) AS n FROM lst GROUP BY ALL),
+lb AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY n DESC, l DESC) AS r FROM llv)"""
+_ALL_TYRES = _TYRES.removeprefix("RECURSIVE " + _TEL).replace("walk", "tywalk").replace("picked", "typicked").replace("days AS", "tydays AS") + """, tym AS (SELECT vin, CASE WHEN fl IS NULL THEN fr WHEN fr IS NULL THEN fl ELSE greatest(fl, fr) END AS y, temp AS x FROM tydays),
+tyr AS (SELECT vin, CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 AND stddev_pop(x) * stddev_pop(y) > 0 THEN corr(y, x) END AS r FROM tym GROUP BY vin)"""
+
+
+def _all_sessions(sql: str) -> str:
+    return sql.replace("x.vin % 2 = 0 AND ", "")
+
+
+def _all_facts(sql: str) -> str:
+    limit, tyres = "SELECT vin, 'charge-limit', 'habit', 80 FROM tel WHERE vin % 2 = 0 GROUP BY vin", "SELECT vin, 'tyre-weather', 'quirk', -0.5 FROM tel WHERE vin = 1 GROUP BY vin"
+    ctes, _, final = _all_sessions(sql).rpartition(";;")
+    final = final.replace(limit, "SELECT vin, 'charge-limit', 'habit', l FROM lb WHERE r = 1 AND n >= 3 AND l < 99").replace(tyres, "SELECT vin, 'tyre-weather', 'quirk', r FROM tyr WHERE abs(r) > 0.3")
+    return ctes + _ALL_LIMITS + _ALL_TYRES + ";;" + final
+
+
+QUERIES["phantom_drain_all"] = Query(QUERIES["phantom_drain"].columns, lambda s, d: battery.phantom_drain(tel(s, d), _sessions(s, d), _trips(s, d), _windows(s, d)), _all_sessions(QUERIES["phantom_drain"].sql))
+QUERIES["facts_all"] = Query(QUERIES["facts"].columns, lambda s, d: _facts(s, d, whole=True), _all_facts(QUERIES["facts"].sql))

@@ -170,3 +170,20 @@ def test_every_moment_gets_its_trip(spark):
     d = "/root/testdata/sf0.001"
     got = queries.QUERIES["event_trip_lookup_all"].run(spark, d)
     assert got.count() == queries.tel(spark, d).count() and got.where("trip_start_t is not null and t % 97 <> 0").count() > 0
+
+
+def test_drain_leaves_out_the_charged_stops_of_every_vehicle(spark):
+    two = lambda rows, names: spark.createDataFrame([(v, *r) for v in (1, 2) for r in rows], f"vin int, {names}")
+    df = two([(100, 80.0), (30000, 76.0), (60000, 70.0)], "t long, soc double")
+    tr = two([(0, 100), (30000, 30000), (60000, 60001)], "start_t long, end_t long")
+    ch, w = two([(40000, 41000)], "start_t long, end_t long"), two([(0, 90000)], "start_t long, end_t long")
+    assert rows(battery.phantom_drain(df, ch, tr, w), "vin", "from_t", "soc_lost") == [(1, 100, 4.0), (2, 100, 4.0)]
+
+
+def test_facts_take_the_operators_own_results(spark):
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["phantom_drain_all"].run(spark, d).collect() == []
+    r = {x.vin: x.r for x in queries.QUERIES["tyre_correlation"].run(spark, d).collect()}
+    got = queries.QUERIES["facts_all"].run(spark, d).collect()
+    assert {x.vin: x.value for x in got if x.id == "tyre-weather"} == {v: x for v, x in r.items() if x is not None and abs(x) > 0.3}
+    assert not [x for x in got if x.id == "phantom-drain" or x.id == "charge-limit"]
