@@ -41,6 +41,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.maintained_counts(table(spark, sf_dir, "documents"))
 
 
+def op7_all_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.all_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,5 +57,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_toxicity, op5_bpe, op6_exact_top_k, op7_token_counts, op8_quality, op9_suffix_dedup, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_toxicity, op5_bpe, op6_exact_top_k, op7_token_counts, op7_all_token_counts, op8_quality, op9_suffix_dedup, op10_simhash)}
 SQL = {"op2_mixing": mixing.SQL, "op6_exact_top_k": vafile.SQL, "op7_token_counts": rollup.SQL}

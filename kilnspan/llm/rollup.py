@@ -7,12 +7,16 @@ and renamed into it: the rename is the commit, and a batch id that is there alre
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bpe
 from .common import shared_dir, word_count
 
 KEYS = ("source", "lang", "version")
@@ -94,6 +98,39 @@ def maintained_counts(docs: DataFrame) -> DataFrame:
     return store.totals()
 
 
+def encoded(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
+    """(source, lang, version, tokens) per document, counted by the encoder of the rank file at path."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = bpe.codec_of(path, pattern, os.stat(path).st_mtime_ns)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                b = whole.slice(at, 256)
+                n = [len(x) // 4 for x in codec.encode(t or "" for t in b.column(2).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["source", "lang", "tokens"])
+
+    return docs.select("source", "lang", "text").mapInArrow(run, "source string, lang string, tokens long").select("source", "lang", F.lit(version).alias("version"), "tokens")
+
+
+def all_counts(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
+    """The rollup of all documents, those without a source too, by words and by the encoder of the rank file at path.
+
+    Every document is inserted, counted as words-1; those without a source are deleted and inserted again; German ones are revised to words-2;
+    every document is inserted as counted by the encoder; and the deletion is sent again, which changes nothing.
+    """
+    spark = docs.sparkSession
+    store = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
+    store.apply("1-insert", changes(None, counted(docs, "words-1")))
+    none = counted(docs.where("source is null"), "words-1")
+    store.apply("2-delete", changes(none, None))
+    store.apply("3-again", changes(None, none))
+    german = docs.where("lang = 'de'")
+    store.apply("4-revise", changes(counted(german, "words-1"), counted(german, "words-2")))
+    store.apply("5-encode", changes(None, encoded(docs, version, path, pattern)))
+    store.apply("2-delete", changes(none, None))
+    return store.totals()
+
+
 SQL = """
 SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST(count(*) FILTER (n = 0) AS BIGINT) AS empty FROM (
   SELECT source, lang, CASE WHEN lang = 'de' THEN 'words-2' ELSE 'words-1' END AS version,

@@ -1,8 +1,10 @@
 import re
 
+import public_tokenizers as P
 import pytest
+import tiktoken
 
-from kilnspan.llm import rollup
+from kilnspan.llm import bpe, queries, rollup
 
 from .helpers import docs
 
@@ -51,3 +53,18 @@ def test_maintained_counts(spark):
         want[source, lang, v] = [k[0] + 1, k[1] + n, k[2] + (n == 0)]
     got = rollup.maintained_counts(docs(spark, texts, extra=True)).collect()
     assert {tuple(r[:3]): list(r[3:]) for r in got} == want
+
+
+def test_all_counts_cover_every_document_and_the_encoder(spark, tmp_path):
+    texts = [None, "", "a, b", "x-y z!", " \n", "w " * 3000, "a, b", "é ü,ß", "tail"]
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(queries.RANKS)), special_tokens={})
+    want = {}
+    for i, t in enumerate(texts):
+        lang, source = ("en", "de", None)[i % 3], ("a", None, None, "b")[i % 4]
+        v = "words-2" if lang == "de" else "words-1"
+        for v, n in ((v, len(re.findall(rollup.VERSIONS[v], t or ""))), (queries.RANKS, len(lib.encode_ordinary(t or "")))):
+            k = want.setdefault((source, lang, v), [0, 0, 0])
+            want[source, lang, v] = [k[0] + 1, k[1] + n, k[2] + (n == 0)]
+    docs(spark, texts, sources=("a", None, None, "b")).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.QUERIES["op7_all_token_counts"](spark, str(tmp_path)).collect()
+    assert {tuple(r[:3]): list(r[3:]) for r in got} == want and any(k[0] is None for k in want)
