@@ -27,7 +27,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.encode_documents(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, decode=True)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("tokens", tokens)]

@@ -127,13 +127,13 @@ def codec_of(path: str, pattern: str, changed: int) -> Codec:
     return Codec(load_ranks(path), pattern)
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False) -> DataFrame:
-    """(doc_id, n_tokens, ids) or, with digests, (doc_id, n_tokens, ids_sha256, decoded_sha256), one row per row of docs (doc_id, text).
+def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = False, decode: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, ids) or, with digests, (doc_id, n_tokens, ids_sha256, decoded_sha256), or, with decode, (doc_id, n_tokens, ids, decoded_sha256), one row per row of docs (doc_id, text).
 
     path names a rank file that executors have too. ids are little-endian unsigned 32-bit integers. Null and empty texts have no
     ids. The digests are of the ids and of the bytes decoded from them. Repeated rows come out as often as they went in.
     """
-    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary")
+    schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids binary, decoded_sha256 string" if decode else "ids binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(path, pattern, os.stat(path).st_mtime_ns)
@@ -143,10 +143,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 ids = list(codec.encode(texts))
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
-                if digests:
-                    rest = [pa.array([hashlib.sha256(x).hexdigest() for x in ids]), pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids])]
-                else:
-                    rest = [pa.array(ids, pa.binary())]
+                rest = [pa.array([hashlib.sha256(x).hexdigest() for x in ids])] if digests else [pa.array(ids, pa.binary())]
+                if digests or decode:
+                    rest.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n, *rest], [f.split()[0] for f in schema.split(", ")])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)

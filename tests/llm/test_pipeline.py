@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import public_tokenizers as P
@@ -28,3 +29,9 @@ def test_stages_in_order(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and sorted((x.doc_id, bytes(x.ids)) for x in got) == sorted((x.doc_id, b"".join(i.to_bytes(4, "little") for i in lib.encode_ordinary(x.text or ""))) for x in want)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "repeated_passages", "source_mix", "tokens"]
+
+
+def test_the_last_stage_decodes_its_ids(spark):
+    texts = [None, "", "a, b", "é ü,ß  x\n", "tail"]
+    got = corpus_pipeline.tokens(spark, docs(spark, texts), "").collect()
+    assert {x.doc_id: x.decoded_sha256 for x in got} == {i: hashlib.sha256((t or "").encode()).hexdigest() for i, t in enumerate(texts)}
