@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts in an Arrow batch.
 TEXTS = 1024
 _own_dir: str | None = None
+#: Folders of cut() that are there still.
+_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,7 +50,41 @@ def cut(df: DataFrame, name: str = "cut", batch: int | None = None) -> DataFrame
     finally:
         if batch:
             spark.conf.set(BATCH_ROWS, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folder = path
+    _written.append(path)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete the folders of tables that cut() returned, once all that reads them is written."""
+    for df in tables:
+        _delete(df.sparkSession, df._folder)
+
+
+def sweep(spark: SparkSession, keep: tuple[DataFrame, ...] = (), mark: int = 0) -> None:
+    """Delete all folders that cut() has written (after the first `mark` of them) but those of `keep`.
+
+    Operators return lazily, so the tables that their results read stay until a caller who has written the result sweeps them.
+    """
+    for path in _written[mark:]:
+        if path not in [df._folder for df in keep]:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _written:
+        _written.remove(path)
+
+
+def cut_and_sweep(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """cut() of what make returns, without the folders that make has cut on the way: the result no longer reads them."""
+    mark = len(_written)
+    out = cut(make(), name)
+    sweep(out.sparkSession, (out,), mark)
+    return out
 
 
 def partitions(spark: SparkSession) -> int:
