@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .passages import WORDS, Context, Units, cleaned, repeated_spans
+from .passages import WORDS, Context, Units, cleaned, repeated_spans, without
 
 _K = 0x9E3779B97F4A7C15
 _K_INVERSE = pow(_K, -1, 1 << 64)
@@ -77,7 +77,7 @@ class Reference:
 
 def by_factors(shard: list[tuple[Context, int, int]], units: Units) -> Iterator[tuple[int, np.ndarray]]:
     """Window starts inside long factors, and those across a factor's end that the index has."""
-    blocks = [np.frombuffer(x.u[i * units.size : (j + units.window - 1) * units.size], np.uint64) for x, i, j in shard]
+    blocks = [units.array(x.u[i * units.size : (j + units.window - 1) * units.size]) for x, i, j in shard]
     ref = Reference(blocks, [x.m for x, _, _ in shard], units.window)
     mark = np.zeros(len(ref.source) + 1, np.int64)
     block, start, length = ref.parse()
@@ -93,12 +93,13 @@ def by_factors(shard: list[tuple[Context, int, int]], units: Units) -> Iterator[
 
 
 def removal_report(docs: DataFrame, window: int = WORDS.window) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) for each row of docs.
+    """(doc_id, n_words, n_removed, kept_sha256, text) for each row of docs.
 
     A word goes if a window of words over it also starts in a row with a smaller doc_id; all are judged on the
     input. Null texts have no words, a null doc_id is the largest, and rows with the same doc_id do not remove each other's words.
-    kept_sha256 is of the kept words joined by one space.
+    kept_sha256 is of the kept words joined by one space; text is what is left of the text, its white space as it was.
     """
+    units = Units(8, window, min(WORDS.gram, window))
 
     def apply(text, runs):
         words = (text or b"").split()
@@ -107,7 +108,6 @@ def removal_report(docs: DataFrame, window: int = WORDS.window) -> DataFrame:
             keep += words[at:i]
             at = j
         keep += words[at:]
-        return len(words), len(words) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest()
+        return len(words), len(words) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest(), without(text or b"", runs, units).decode()
 
-    spans = repeated_spans(docs, Units(8, window, min(WORDS.gram, window)), by_factors, later_only=True)
-    return cleaned(docs, spans, ["doc_id"], apply, "n_words long, n_removed long, kept_sha256 string")
+    return cleaned(docs, repeated_spans(docs, units, by_factors, later_only=True), ["doc_id"], apply, "n_words long, n_removed long, kept_sha256 string, text string")

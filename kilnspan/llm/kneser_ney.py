@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, partitions
 from .passages import packed, unpack
@@ -156,97 +157,93 @@ def _total(logp: np.ndarray, g: np.ndarray, text: bytes, order: int) -> float:
     return float(logp[np.searchsorted(g, x)].sum()) if len(x) else 0.0
 
 
-def _score(order: int, columns: list[str]):
+def _score(order: int):
     def run(key: tuple, docs: pa.Table, found: pa.Table) -> pa.Table:
         g, logp = found.column("g").to_numpy(), found.column("logp").to_numpy()
         at = np.argsort(g)
-        g, logp = g[at], logp[at]
-        texts = [unpack(z) for z in docs.column("z").to_pylist()]
-        sums = [_total(logp, g, t, order) for t in texts]
-        return pa.table([*(docs.column(c) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "kn_sum", "kn_bytes"])
+        return _scored(docs, g[at], logp[at], order, docs.column_names[1:])
 
     return run
 
 
-def _score_sent(order: int, columns: list[str], sent):
+def _score_sent(order: int, sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g, logp = sent.value
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
-                texts = [unpack(z) for z in b.column(b.schema.get_field_index("z")).to_pylist()]
-                sums = [_total(logp, g, t, order) for t in texts]
-                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "kn_sum", "kn_bytes"])
+                yield from _scored(pa.Table.from_batches([whole.slice(at, 512)]), g, logp, order, whole.schema.names).to_batches()
 
     return run
 
 
-def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER, texts: bool = True) -> DataFrame:
-    """The columns of docs but text, with kn_z (the packed text, if texts), kn_sum (log probability) and kn_bytes."""
+def _scored(docs: pa.Table, g: np.ndarray, logp: np.ndarray, order: int, columns: list[str]) -> pa.Table:
+    texts = [unpack(z) for z in docs.column("z").to_pylist()]
+    sums = [_total(logp, g, t, order) for t in texts]
+    return pa.table([*(docs.column(c) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "sum", "bytes"])
+
+
+def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
+    """(z, own, sum, bytes): the packed text, the other columns of docs in a struct, the log probability and the size of the text."""
     spark = docs.sparkSession
-    columns = [c for c in docs.columns if c != "text"]
-    names = {c: f"c{i}" for i, c in enumerate(columns)}
-    dealt = packed(docs.select("text", "doc_id", *[F.col(c).alias(n) for c, n in names.items()]), *names.values())
-    own = [*names.values(), *(["z"] if texts else [])]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.select(*own).schema) + ", kn_sum double, kn_bytes long"
+    dealt = packed(docs, *[c for c in docs.columns if c != "text"]).select("r", "z", "own")
+    out = T.StructType([*dealt.select("z", "own").schema, *T.StructType.fromDDL("sum double, bytes long")])
     whole = dealt.select(F.lit(0).alias("part"), "z").mapInArrow(_asks(order), "part int, g long")
     known = cut(probabilities(whole.select("g").distinct(), tables), "known")
     if known.count() <= SENT:
         answers = known.toArrow()
         g, logp = answers.column("g").to_numpy(), answers.column("logp").to_numpy()
         at = np.argsort(g)
-        out = dealt.mapInArrow(_score_sent(order, own, spark.sparkContext.broadcast((g[at], logp[at]))), fields)
-    else:
-        volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        parts = max(int(-(-volume // PART)), partitions(spark))
-        dealt = cut(dealt.withColumn("part", F.pmod("r", F.lit(parts)).cast("int")).repartition(parts, "part"), "dealt")
-        asked = dealt.select("part", "z").mapInArrow(_asks(order), "part int, g long").distinct()
-        out = dealt.groupBy("part").cogroup(asked.join(known, "g").groupBy("part")).applyInArrow(_score(order, own), fields)
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()], *([F.col("z").alias("kn_z")] if texts else []), "kn_sum", "kn_bytes")
+        return dealt.select("z", "own").mapInArrow(_score_sent(order, spark.sparkContext.broadcast((g[at], logp[at]))), out)
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(-(-volume // PART)), partitions(spark))
+    dealt = cut(dealt.select(F.pmod("r", F.lit(parts)).cast("int").alias("part"), "z", "own").repartition(parts, "part"), "dealt")
+    asked = dealt.select("part", "z").mapInArrow(_asks(order), "part int, g long").distinct()
+    return dealt.groupBy("part").cogroup(asked.join(known, "g").groupBy("part")).applyInArrow(_score(order), out)
 
 
 def _ids(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SENT_IDS else df
 
 
-def _graded(docs: DataFrame, labels: DataFrame, texts: bool) -> DataFrame:
-    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("kn_quality")).where("kn_quality = 1 and doc_id is not null")
-    trusted = cut(trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("kn_fold")), "trusted")
-    tables = model(docs.select("doc_id", "text").join(_ids(trusted.where("not kn_fold")), "doc_id", "left_semi").select("text"))
-    s = cut(scored(docs, tables, texts=texts), "scored")
-    every = s.select("doc_id", "lang", "kn_sum", "kn_bytes").join(trusted.where("kn_fold"), "doc_id", "left_semi").where("kn_bytes > 0")
-    mean = every.agg((F.sum("kn_sum") / F.sum("kn_bytes")).alias("m")).first()["m"]
-    loss = -(F.col("kn_sum") + F.lit(mean) * PRIOR) / (F.col("kn_bytes") + PRIOR)
-    s = s.withColumn("kn_loss", loss)
-    every = every.withColumn("kn_loss", loss)
-    overall = every.agg(F.percentile_approx("kn_loss", QUANTILE, 100_000).alias("q")).first()["q"]
+def _graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(z, own, bytes, loss, limit, ok) for each row of docs; loss and limit in nats a byte."""
+    trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1 and doc_id is not null")
+    trusted = cut(trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("fold")), "trusted")
+    tables = model(docs.select("doc_id", "text").join(_ids(trusted.where("not fold")), "doc_id", "left_semi").select("text"))
+    s = cut(scored(docs, tables), "scored")
+    every = s.select(F.col("own.doc_id").alias("doc_id"), F.col("own.lang").alias("lang"), "sum", "bytes").join(trusted.where("fold"), "doc_id", "left_semi").where("bytes > 0")
+    mean = every.agg((F.sum("sum") / F.sum("bytes")).alias("m")).first()["m"]
+    loss = (-(F.col("sum") + F.lit(mean) * PRIOR) / (F.col("bytes") + PRIOR)).alias("loss")
+    every = every.select("lang", loss)
+    overall = every.agg(F.percentile_approx("loss", QUANTILE, 100_000).alias("q")).first()["q"]
     # a row for each language of trusted texts; a language without any takes that of all
-    by_lang = every.groupBy(F.col("lang").alias("kn_lang")).agg(F.percentile_approx("kn_loss", QUANTILE, 100_000).alias("kn_limit"))
-    s = s.join(by_lang, F.col("lang").eqNullSafe(F.col("kn_lang")), "left").withColumn("kn_limit", F.coalesce("kn_limit", F.lit(overall)) + SLACK)
-    return s.withColumn("kn_ok", F.coalesce((F.col("kn_bytes") > 0) & (F.col("kn_loss") <= F.col("kn_limit")), F.col("kn_bytes") > 0))
+    by_lang = every.groupBy("lang").agg(F.percentile_approx("loss", QUANTILE, 100_000).alias("top"))
+    s = s.select("z", "own", "bytes", loss).join(by_lang, F.col("own.lang").eqNullSafe(F.col("lang")), "left")
+    s = s.select("z", "own", "bytes", "loss", (F.coalesce("top", F.lit(overall)) + SLACK).alias("limit"))
+    return s.withColumn("ok", F.coalesce((F.col("bytes") > 0) & (F.col("loss") <= F.col("limit")), F.col("bytes") > 0))
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, accepted) for each row of docs.
 
     Trained on documents whose labels.quality is 1 (the lowest of several labels), but for one in CALIBRATE, which set the thresholds by
-    language. perplexity is per byte, smoothed by PRIOR; null and empty texts have that of the average and are rejected. Without trusted
+    language. perplexity is per byte, smoothed by PRIOR; null and empty texts have that of the average and are rejected; one at the
+    threshold is accepted. Repeated rows are trained on and scored as often as they occur. Without trusted
     documents every text with a byte is accepted and threshold is null.
     """
-    g = _graded(docs.select("doc_id", "text", "lang"), labels, texts=False)
-    return g.select("doc_id", "lang", F.col("kn_bytes").alias("n_bytes"), F.exp("kn_loss").alias("perplexity"), F.exp("kn_limit").alias("threshold"), F.col("kn_ok").alias("accepted"))
+    g = _graded(docs.select("doc_id", "text", "lang"), labels)
+    return g.select("own.doc_id", "own.lang", F.col("bytes").alias("n_bytes"), F.exp("loss").alias("perplexity"), F.exp("limit").alias("threshold"), F.col("ok").alias("accepted"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that the classifier accepts, with the columns of docs."""
+    """The rows of docs that the classifier accepts, with the columns of docs, which may have any names."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([pa.array([unpack(z).decode() for z in b.column(0).to_pylist()], pa.string()), *b.columns[1:]], ["text", *rest])
+                yield pa.RecordBatch.from_arrays([pa.array([unpack(z).decode() for z in b.column(0).to_pylist()], pa.string()), b.column(1)], ["text", "own"])
 
-    rest = [c for c in docs.columns if c != "text"]
-    g = _graded(docs, labels, texts=True).where("kn_ok").select("kn_z", *rest)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema)
-    return g.mapInArrow(run, f"text string, {fields}").select(*docs.columns)
+    g = _graded(docs, labels).where("ok").select("z", "own")
+    out = T.StructType([T.StructField("text", T.StringType()), g.schema["own"]])
+    return g.mapInArrow(run, out).select("text", "own.*").select(*[f"`{c}`" for c in docs.columns])

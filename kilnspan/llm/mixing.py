@@ -39,32 +39,31 @@ def uniform(key) -> F.Column:
 
 
 def with_copies(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """docs with mix_size, mix_source_size, mix_target and mix_copies.
+    """(own, size, source_size, target, copies): each row of docs in the struct own, so that its columns may have any names.
 
     A source's rate is target / size; each document is taken floor(rate) times and once more with probability
     rate - floor(rate), decided by its doc_id's hash, so reruns agree. Null texts have size 0,
     null sources are one source; a source without words has rate 0 and its documents are not taken.
-    Repeated rows are decided alike. Columns of docs pass through.
+    Repeated rows are decided alike. No rows give no rows.
     """
-    counted = docs.withColumn("mix_size", word_count(F.col("text")))
-    t = source_targets(counted.select("source", F.col("mix_size").alias("size")), weights, most)
-    t = t.select(F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    joined = counted.join(t, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
-    rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(F.lit(0.0))
+    counted = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.col("source").alias("key"), word_count(F.col("text")).alias("size"))
+    targets = source_targets(counted.select(F.col("key").alias("source"), "size"), weights, most)
+    joined = counted.join(targets, F.col("key").eqNullSafe(F.col("source")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate)
-    return joined.withColumn("mix_copies", whole + F.when(uniform(F.col("doc_id")) < rate - whole, 1).otherwise(0))
+    copies = whole + F.when(uniform(F.col("own.doc_id")) < rate - whole, 1).otherwise(0)
+    return joined.select("own", "size", "source_size", "target", copies.cast("int").alias("copies"))
 
 
 def mix(docs: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     """The mixed corpus: every document as many times as it is taken, with the columns of docs."""
-    taken = with_copies(docs, weights, most).where("mix_copies > 0")
-    return taken.withColumn("mix_n", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    return with_copies(docs, weights, most).where("copies > 0").select("own", F.explode(F.sequence(F.lit(1), "copies"))).select("own.*")
 
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken) per document."""
     c = with_copies(docs.select("doc_id", "text", "source"))
-    return c.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_size") * F.col("mix_copies")).alias("taken"))
+    return c.select("own.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 SQL = """

@@ -14,6 +14,7 @@ Equality rests on 64-bit hashes for whole contexts, and for words on 64-bit word
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -25,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import TEXTS, cut, partitions, row_key
 
@@ -50,8 +52,27 @@ class Units:
         return np.frombuffer(text, np.uint8) if self.size == 1 else word_hashes(text.split())
 
 
+    def array(self, context: bytes) -> np.ndarray:
+        """The units of a context."""
+        return np.frombuffer(context, np.uint8 if self.size == 1 else np.uint64)
+
+
 BYTES = Units(1, 400, 32)
 WORDS = Units(8, 50, 4)
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def without(text: bytes, runs: list[list[int]], units: Units) -> bytes:
+    """The text without these runs of its units; a run of words goes with the space inside it."""
+    if units.size > 1 and runs:
+        ends = np.array([m.span() for m in _WORD.finditer(text)])
+        runs = [[ends[i][0], ends[j - 1][1]] for i, j in runs]
+    at, out = 0, []
+    for i, j in runs:
+        out.append(text[at:i])
+        at = j
+    out.append(text[at:])
+    return b"".join(out)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -124,9 +145,11 @@ def _spot(units: Units):
 
 
 def packed(docs: DataFrame, *columns: str) -> DataFrame:
-    """docs' columns, row key r and the compressed text z: what is shuffled where texts must meet their spans."""
-    names = ["r", "z", *columns]
-    schema = ", ".join(["r long", "z binary", *(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema)])
+    """Row key r, the compressed text z and, if there are any, docs' columns in one struct `own`: what is shuffled where texts must meet their spans."""
+    fields = [T.StructField("r", T.LongType()), T.StructField("z", T.BinaryType())]
+    own = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own")] if columns else []
+    if columns:
+        fields.append(T.StructField("own", docs.select(*own).schema["own"].dataType))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
@@ -134,9 +157,9 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
             for at in range(0, whole.num_rows, 1024):
                 b = whole.slice(at, 1024)
                 z = pa.array([None if not t.is_valid else pack(t.as_buffer()) for t in b.column(1)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], names)
+                yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], [f.name for f in fields])
 
-    return docs.select(_key(docs).alias("r"), "text", *columns).mapInArrow(run, schema)
+    return docs.select(_key(docs).alias("r"), "text", *own).mapInArrow(run, T.StructType(fields))
 
 
 def _key(docs: DataFrame):
@@ -285,22 +308,22 @@ def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only
 
 
 def cleaned(docs: DataFrame, spans: DataFrame, columns: list[str], apply: Callable, schema: str) -> DataFrame:
-    """apply(text or None, merged spans) -> values for schema, after the given columns of docs, for each row of docs."""
+    """apply(text or None, merged spans) -> values for schema, after the given columns of docs, for each row of docs. Columns may have any names but those of schema."""
     per_row = spans.groupBy("r").agg(F.collect_list(F.struct("i", "j")).alias("spans"))
-    joined = packed(docs, *columns).join(per_row, "r", "left").select("z", "spans", *columns)
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema), schema])
+    joined = packed(docs, *columns).join(per_row, "r", "left").select("z", "spans", "own")
+    fields = [f.split() for f in schema.split(", ")]
+    kinds = {"long": pa.int64(), "string": pa.string()}
+    out = T.StructType([joined.schema["own"], *T.StructType.fromDDL(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
                 made = [apply(None if z is None else unpack(z), merged(s)) for z, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-                fields = [f.split() for f in schema.split(", ")]
-                kinds = {"long": pa.int64(), "string": pa.string()}
                 new = [pa.array([m[x] for m in made], kinds[f[1]]) for x, f in enumerate(fields)]
-                yield pa.RecordBatch.from_arrays([*b.columns[2:], *new], [*columns, *(f[0] for f in fields)])
+                yield pa.RecordBatch.from_arrays([b.column(2), *new], ["own", *(f[0] for f in fields)])
 
-    return joined.mapInArrow(run, out)
+    return joined.mapInArrow(run, out).select("own.*", *[f[0] for f in fields])
 
 
 def merged(spans: list[dict] | None) -> list[list[int]]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, row_key
 from .components import components
 
 #: Generator polynomials of the perfect binary Golay code of length 23 (radius 3) and the Hamming code of length 15 (radius 1).
@@ -29,6 +29,8 @@ PIECES = ((23, GOLAY, 23, 3), (23, GOLAY, 23, 3), (18, HAMMING, 15, 1))
 THRESHOLD = 4
 #: Members of an anchor compared by one task at a time; larger anchors are cut into blocks, each pair of blocks a task.
 BLOCK = 4096
+#: Stands for a missing doc_id.
+NONE = (1 << 63) - 1
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -52,14 +54,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): one row per row of docs; fp is the fingerprint as a signed long."""
+    """(doc_id, r, fp): one row per row of docs; r is the row's key (id and text), fp the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(fps)], ["doc_id", "r", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").mapInArrow(run, "doc_id long, r long, fp long")
 
 
 @lru_cache
@@ -151,8 +153,8 @@ def _local_links(threshold: int):
     return run
 
 
-def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(fp, root): the fingerprints of the one-column table that link with another, directly or through others; at most threshold bits differ in a link."""
+def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(u, v): links of at most threshold bits between the fingerprints fp of the table, of each anchor a forest that joins what its links join."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -170,8 +172,25 @@ def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFr
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
         .select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     )
-    local = pairs.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_local_links(threshold), "u long, v long")
-    return components(local).withColumnRenamed("node", "fp")
+    return pairs.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_local_links(threshold), "u long, v long")
+
+
+def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(fp, root): the fingerprints of the table that link with another, directly or through others, and the smallest one reached."""
+    return components(links(distinct, threshold)).withColumnRenamed("node", "fp")
+
+
+def _components(fps: DataFrame, threshold: int) -> DataFrame:
+    """(fp, least, root): each fingerprint with its smallest doc_id and the smallest (doc_id, fingerprint) that it reaches; no doc_id is the largest.
+
+    Fingerprints enter the components under their smallest doc_id, so no component's rows need meet to find its own.
+    """
+    classes = cut(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NONE))).alias("least")), "classes")
+    node = classes.select("fp", F.struct("least", "fp").alias("node"))
+    u, v = (node.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")) for x in "uv")
+    named = links(classes, threshold).join(u, "u").join(v, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
+    roots = components(named).select(F.col("node.fp").alias("fp"), "root")
+    return cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", F.struct("least", "fp")).alias("root")), "linked")
 
 
 def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = 4, seed: int = 42) -> DataFrame:
@@ -184,16 +203,15 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = 4,
     if there is none). Repeated rows come out as often as they went in. No rows give no rows.
     """
     fps = cut(with_fingerprints(docs, width, seed), "fingerprints")
-    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    linked = cut(link_fingerprints(classes, threshold), "linked")
-    named = classes.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = named.join(least, "root").select("fp", "component_id")
+    found = _components(fps, threshold).select("fp", F.nullif(F.col("root.least"), F.lit(NONE)).alias("component_id"))
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their group (repeats of that row once); columns unchanged. Rows without a doc_id stay."""
-    kept = simhash_groups(docs, threshold).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.join(kept, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """One row of each group: that of the smallest doc_id (null is the largest), of unlike texts with one doc_id that of the smallest key, of repeated rows any; columns unchanged."""
+    fps = cut(with_fingerprints(docs), "fingerprints")
+    rows = fps.join(_components(fps, threshold).select("fp", "root"), "fp")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NONE)).alias("d"), "r")).alias("first")).select(F.col("first.r").alias("r"))
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
+    kept = docs.select(own, row_key(F.col("doc_id"), F.col("text")).alias("r")).join(first, "r", "left_semi")
+    return kept.dropDuplicates(["r"]).select("own.*")

@@ -8,7 +8,7 @@ def docs(spark, texts, extra=False, sources=("a", "b", None)):
     rows = [(i, t, ("en", "de", None)[i % 3], sources[i % len(sources)], len(t or "")) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, DOCS)
     if extra:  # columns whose names the operators use inside
-        for c in ("fp", "root", "node", "size", "target", "anchor", "score", "key", "start", "count", "n", "label"):
+        for c in ("fp", "root", "node", "size", "target", "anchor", "score", "key", "start", "count", "n", "label", "r", "z", "own", "spans", "a", "c", "d", "s", "i", "j", "m", "k", "kn_sum", "kn_z", "kn_limit", "mix_source", "mix_n", "mix_size"):
             df = df.selectExpr("*", f"doc_id as {c}")
     return df
 

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,9 +15,13 @@ def test_suffix_array_equals_sorting():
     for k in range(400):
         letters = r.choice([1, 2, 3, 200])
         t = [r.randrange(1, letters + 1) for _ in range(r.randrange(0, 80))] + [0]
-        for suffix.BUCKETS in (1024, 3):
-            assert suffix.suffix_array(np.array(t, np.int16), letters + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
-    suffix.BUCKETS = 1024
+        assert suffix.suffix_array(np.array(t, np.int16), letters + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
+
+
+@pytest.mark.parametrize("letters", [3, 300, 20_000])
+def test_suffix_array_over_small_and_large_alphabets(letters):
+    t = [*np.random.default_rng(1).integers(1, letters + 1, 20_000).tolist(), 0]
+    assert suffix.suffix_array(np.array(t), letters + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 400])
 
 
 def texts(r, unit, join):
@@ -50,24 +55,26 @@ def slow_bytes(texts_, window):
             if seen[b[i : i + window]] > 1:
                 gone[i : i + window] = [True] * window
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
+        out.append((len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
     return out
 
 
-def slow_words(texts_, window):
+def slow_words(texts_, window, anywhere=False):
+    """Of windows that also start in an earlier document or, if anywhere, at any other place."""
     ws = [(t or "").encode().split() for t in texts_]
-    first = {}
+    first, times = {}, Counter()
     for d, w in enumerate(ws):
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), d)
+            times[tuple(w[i : i + window])] += 1
     out = []
     for d, w in enumerate(ws):
         gone = [False] * len(w)
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i : i + window])] < d:
+            if times[tuple(w[i : i + window])] > 1 if anywhere else first[tuple(w[i : i + window])] < d:
                 gone[i : i + window] = [True] * window
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out.append((len(w), sum(gone), hashlib.sha256(kept).hexdigest()))
+        out.append((len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
     return out
 
 
@@ -86,7 +93,30 @@ def test_words_equal_brute_force(spark, group, monkeypatch):
     r = random.Random(12)
     t = texts(r, lambda r: r.choice(["a", "b", "ç", "dd", "e,"]) + str(r.randrange(9)), " ".join)
     got = sorted(factors.removal_report(docs(spark, t, extra=group == 2), 20).collect())
-    assert [tuple(x) for x in got] == [(i, *x) for i, x in enumerate(slow_words(t, 20))]
+    assert [(*x[:4], " ".join(x.text.split())) for x in got] == [(i, *x) for i, x in enumerate(slow_words(t, 20))]
+    assert all(x.text == (t[x.doc_id] or "") for x in got if not x.n_removed)
+
+
+@pytest.mark.parametrize("group", [4096, 2])
+def test_word_passages_equal_brute_force(spark, group, monkeypatch):
+    monkeypatch.setattr(passages, "GROUP", group)
+    r = random.Random(13)
+    t = texts(r, lambda r: r.choice(["a", "b", "ç", "dd", "e,"]) + str(r.randrange(9)), " ".join)
+    got = {x.doc_id: x.text for x in suffix_dedup.remove_passages(docs(spark, t, extra=group == 2), 20).collect()}
+    assert [" ".join((got[i] or "").split()) for i in range(len(t))] == [x[3] for x in slow_words(t, 20, anywhere=True)]
+
+
+def test_short_words_and_other_spacing_hide_no_passage(spark):
+    r = random.Random(14)
+    own = lambda n: [r.choice("abcdefgh") + str(r.randrange(999)) for _ in range(n)]
+    found = []
+    for n in (51, 55, 62):  # all under 400 bytes
+        p = own(n)
+        found += [" ".join(own(30)) + "\n" + " ".join(p) + " " + " ".join(own(20)), " ".join(own(9)) + "  " + "\t".join(p) + "\n\n" + " ".join(own(40))]
+    clean = [" ".join(own(200)) + "\n", "one  two\n"]
+    got = {x.doc_id: x for x in suffix_dedup.remove_passages(docs(spark, found + clean)).collect()}
+    assert [len(got[i].text.split()) for i in range(6)] == [50, 49] * 3
+    assert [got[6 + i].text for i in range(2)] == clean and got[0].n_chars == len(got[0].text)
 
 
 def test_repeated_rows_and_none(spark):

@@ -24,7 +24,7 @@ def test_stages_in_order(spark, tmp_path):
     want = kneser_ney.keep_accepted(d, labels)
     names = {x.doc_id for x in want.select("doc_id").collect()}
     assert names and not names & {len(texts) - 1, len(texts) - 2, len(texts) - 3}
-    want = mixing.mix(suffix_dedup.remove_repeats(simhash.keep_one(want))).collect()
+    want = mixing.mix(suffix_dedup.remove_passages(simhash.keep_one(want))).collect()
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(P.path(RANKS)), special_tokens={})
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert got and sorted((x.doc_id, bytes(x.ids)) for x in got) == sorted((x.doc_id, b"".join(i.to_bytes(4, "little") for i in lib.encode_ordinary(x.text or ""))) for x in want)

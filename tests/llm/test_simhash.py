@@ -77,6 +77,15 @@ def test_groups_equal_brute_force(spark, extra):
     assert sorted(x.doc_id for x in kept.collect()) == sorted(set(root))
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c = ("x y z w v u t s " * 9, "other words of quite another text here " * 9, "third one with more words than that to be unlike " * 9)
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, c), (None, c), (None, None), (3, ""), (3, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.text) for x in simhash.keep_one(df.unionByName(df)).collect()), key=str)
+    blank = [x for x in got if not (x[1] or "").strip()]
+    assert [x for x in got if x not in blank] == sorted([(1, a), (1, b), (None, c)], key=str) and len(blank) == 1 and blank[0][0] == 3
+
+
 def test_no_rows(spark):
     assert simhash.simhash_groups(docs(spark, [])).collect() == []
 
