@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -19,10 +20,19 @@ def last_set(c: str, order: str = "t") -> Column:
     return F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(order)))
 
 
-def nth_of(c: str, share: float) -> Column:
-    """The value at place floor(n * share) of the sorted non-null values, at most the last; 0.5 gives the upper median."""
-    values = F.sort_array(F.collect_list(c))
-    return F.try_element_at(values, F.greatest(F.lit(1), F.least(F.floor(F.count(c) * share) + 1, F.count(c))).cast("int"))
+def nth_values(df: DataFrame, keys: list[str], wanted: list[tuple[str, float, str]]) -> DataFrame:
+    """(keys, names): for each (column, share, name) the value at place floor(n * share) of the group's sorted non-null values, at most the last; 0.5 gives the upper median.
+
+    The values are ranked by a sort that spills, so a group need not fit in memory. Groups without any value are kept.
+    """
+    columns = list(dict.fromkeys(c for c, _, _ in wanted))
+    long = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(keys, columns, "_signal", "_v")
+    group = W.partitionBy(*keys, "_signal")
+    n = F.count("_v").over(group)
+    place = F.sum(F.col("_v").isNotNull().cast("long")).over(group.orderBy(F.asc_nulls_last("_v")).rowsBetween(W.unboundedPreceding, 0))
+    ranked = long.select(*keys, "_signal", "_v", n.alias("_n"), place.alias("_p")).where("_v is not null or _n = 0")
+    at = lambda share: F.greatest(F.lit(1), F.least(F.floor(F.col("_n") * share) + 1, F.col("_n")))
+    return ranked.groupBy(*keys).agg(*[F.max(F.when((F.col("_signal") == c) & (F.col("_p") == at(share)), F.col("_v"))).alias(name) for c, share, name in wanted])
 
 
 def correlation(x: str, y: str) -> Column:
@@ -35,18 +45,3 @@ def correlation(x: str, y: str) -> Column:
 
 def mask_vin(c: Column) -> Column:
     return F.when(F.length(c) < 8, c).otherwise(F.concat(F.left(c, F.lit(4)), F.lit(" … "), F.right(c, F.lit(4))))
-
-
-def bytes_label(n: Column) -> Column:
-    """1024 units, one decimal below ten."""
-    out = F.concat(F.format_string("%.0f", n.cast("double")), F.lit(" B"))
-    for k, unit in enumerate(("KB", "MB", "GB"), 1):
-        v = n.cast("double") / F.lit(float(1024**k))
-        out = F.when(n >= 1024**k, F.concat(F.when(v < 10, F.format_string("%.1f", v)).otherwise(F.format_string("%.0f", v)), F.lit(f" {unit}"))).otherwise(out)
-    return out
-
-
-def duration_label(s: Column) -> Column:
-    """Hours and minutes, minutes rounded; a dash for nothing."""
-    h, m = F.floor(s / 3600), half_up(s % 3600 / 60)
-    return F.when(s.isNull() | (s <= 0), F.lit("—")).when(h > 0, F.format_string("%d h %d min", h, m)).otherwise(F.format_string("%d min", m))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.numbers import correlation, nth_of
+from ..functions.numbers import correlation, nth_values
 from ..functions.time import local_date, local_hour, weekday
 from .battery import stride_sample
 
@@ -30,6 +30,25 @@ def busiest_hour(events: DataFrame, tz: str, key: str = "vin", t: str = "t") ->
     return top.select(key, (-F.col("m.neg")).alias("hour"), F.col("m.c").alias("n"))
 
 
+def quiet_hours(events: DataFrame, tz: str, key: str = "vin", t: str = "t") -> DataFrame:
+    """(key, hour): the hours of the day without any event, for vehicles that have some."""
+    slots = events.select(key).distinct().select(key, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    return slots.join(events.select(key, local_hour(t, tz).alias("hour")).distinct(), [key, "hour"], "left_anti")
+
+
+def per_door(df: DataFrame, events: DataFrame, doors: list[str], key: str = "vin") -> DataFrame:
+    """(key, door, n): how often each door opened; 0 for one that reports but never did, no row for one that does not report."""
+    reports = df.select(key, *[F.col(d).cast("int").alias(d) for d in doors]).unpivot(key, doors, "door", "v").where("v is not null").select(key, "door").distinct()
+    n = events.groupBy(key, "door").agg(F.count("*").alias("n"))
+    return reports.join(n, [key, "door"], "left").fillna(0, ["n"])
+
+
+def longest_open(events: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
+    """(key, door, t, open_s): the door event that lasted longest, the earliest on ties; those that never closed do not count."""
+    best = F.max(F.struct(F.col("open_s"), (-F.col(t)).alias("neg"), F.col("door"))).alias("m")
+    return events.where("open_s is not null").groupBy(key).agg(best).select(key, F.col("m.door").alias("door"), (-F.col("m.neg")).alias(t), F.col("m.open_s").alias("open_s"))
+
+
 def quiet_stretch(hours: DataFrame, key: str = "vin") -> DataFrame:
     """(key, from_h, to_h, hours): the longest circular run of hours without events in (key, hour), the earliest longest, at most 24."""
     busy = hours.select(key, "hour").distinct().withColumn("_b", F.lit(1))
@@ -46,7 +65,7 @@ def tyre_days(df: DataFrame, wheels: list[str], temp: str | None, tz: str, strid
     """(key, day, wheels..., temp): upper medians of rows sampled every `stride` seconds from each local day's first row."""
     columns = [*wheels, *([temp] if temp else [])]
     rows = df.select(key, t, *columns).withColumn("day", local_date(t, tz))
-    return stride_sample(rows, stride, [key, "day"], t).groupBy(key, "day").agg(*[nth_of(c, 0.5).alias(c) for c in columns])
+    return nth_values(stride_sample(rows, stride, [key, "day"], t), [key, "day"], [(c, 0.5, c) for c in columns])
 
 
 def tyre_drift(days: DataFrame, wheels: list[str], key: str = "vin") -> DataFrame:

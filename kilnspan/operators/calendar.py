@@ -23,11 +23,15 @@ def day_buckets(df: DataFrame, trips: DataFrame, sessions: DataFrame, windows: D
     ch = by(sessions).agg(F.sum("kwh").alias("charged_kwh"))
     soc = df.withColumn("day", local_date(t, tz)).groupBy(key, "day").agg(F.min("soc").alias("soc_min"), F.max("soc").alias("soc_max"))
     out = days.join(tr, [key, "day"], "left").join(ch, [key, "day"], "left").join(soc, [key, "day"], "left")
-    out = out.fillna(0, ["km", "moving_s", "trips", "max_speed", "net_kwh", "charged_kwh"]).withColumn("_start", day_start("day", tz))
-    w = windows.select(F.col(key).alias("_k"), F.col("start_t").alias("_s"), F.col("end_t").alias("_e"))
-    touched = (F.col(key) == F.col("_k")) & (F.col("_s") < F.col("_start") + 86400) & (F.col("_e") > F.col("_start"))
-    covered = out.select(key, "day", "_start").join(w, touched, "left_semi").select(key, "day", F.lit(True).alias("covered"))
-    return out.join(covered, [key, "day"], "left").fillna(False, ["covered"]).drop("_start")
+    out = out.fillna(0, ["km", "moving_s", "trips", "max_speed", "net_kwh", "charged_kwh"])
+    return out.join(covered_days(windows, tz, key).withColumn("covered", F.lit(True)), [key, "day"], "left").fillna(False, ["covered"])
+
+
+def covered_days(windows: DataFrame, tz: str, key: str = "vin") -> DataFrame:
+    """(key, day): the local days, of 86,400 seconds from their start, that a window touches. Windows are dealt out by day, so days meet only their own."""
+    near = F.sequence(F.date_sub(local_date("start_t", tz), 1), F.date_add(local_date("end_t", tz), 1))
+    days = windows.select(key, "start_t", "end_t", F.explode(near).alias("day")).withColumn("_start", day_start("day", tz))
+    return days.where((F.col("start_t") < F.col("_start") + 86400) & (F.col("end_t") > F.col("_start"))).select(key, "day").distinct()
 
 
 def punchcard(trips: DataFrame, tz: str, key: str = "vin") -> DataFrame:

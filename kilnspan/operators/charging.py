@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import first_set, half_up, last_set
 from ..functions.time import local_hour
 from .energy import energy_aggregates, power_kw, with_kwh
+from .spans import in_spans
 
 ACTIVE_KW, APART, LEAST_SECONDS, LEAST_GAIN, DC_KW = 0.05, 14400, 300, 1, 22
 SETTLED = 1800
@@ -23,22 +24,14 @@ def charge_runs(df: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
     return runs.groupBy(key, "_run").agg(F.min(t).alias("start_t"), F.max(t).alias("end_t")).drop("_run")
 
 
-def in_spans(df: DataFrame, spans: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
-    """Rows with the span (start_t, end_t) of their key that holds them; spans are disjoint and in order, so the last one begun is the only candidate."""
-    marks = spans.select(F.col(key), F.col("start_t").alias(t), F.col("start_t").alias("_s"), F.col("end_t").alias("_e"), F.lit(0).alias("_kind"))
-    both = df.withColumn("_kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    w = W.partitionBy(key).orderBy(t, "_kind").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumn("start_t", F.last("_s", True).over(w)).withColumn("end_t", F.last("_e", True).over(w))
-    return both.where((F.col("_kind") == 1) & (F.col(t) <= F.col("end_t"))).drop("_kind", "_s", "_e")
-
-
 def detect_charging(df: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
-    """One row per session, over all rows between its first and last active one."""
+    """One row per session, over all rows between its first and last active one; with the range shown at its ends if there is a column range_km."""
     span = [key, "start_t", "end_t"]
     rows = in_spans(df, charge_runs(df, key, t), key, t).withColumn("kw", power_kw())
     rows = with_kwh(rows, F.col("kw"), span, t)
     rows = with_kwh(rows, F.col("chrg").cast("double"), span, t, "delivered")
-    out = rows.groupBy(*span).agg(F.greatest(F.max("chrg"), F.lit(0)).alias("max_kw"), first_set("soc", t).alias("soc_start"), last_set("soc", t).alias("soc_end"), F.coalesce(F.sum("delivered"), F.lit(0.0)).alias("kwh"), *energy_aggregates())
+    reach = [first_set("range_km", t).alias("range_start"), last_set("range_km", t).alias("range_end")] if "range_km" in df.columns else []
+    out = rows.groupBy(*span).agg(*reach, F.greatest(F.max("chrg"), F.lit(0)).alias("max_kw"), first_set("soc", t).alias("soc_start"), last_set("soc", t).alias("soc_end"), F.coalesce(F.sum("delivered"), F.lit(0.0)).alias("kwh"), *energy_aggregates())
     out = out.withColumn("duration_s", F.col("end_t") - F.col("start_t")).withColumn("soc_gain", F.col("soc_end") - F.col("soc_start"))
     out = out.where((F.col("duration_s") >= LEAST_SECONDS) | F.coalesce(F.col("soc_gain") >= LEAST_GAIN, F.lit(False)))
     avg = F.when(F.col("duration_s") > 0, F.col("kwh") * 3600 / F.col("duration_s"))
@@ -75,5 +68,9 @@ def start_hours(sessions: DataFrame, tz: str, key: str = "vin") -> DataFrame:
     return dense.join(n, [key, "hour"], "left").fillna(0, ["n"])
 
 
-def charging_summary(sessions: DataFrame, key: str = "vin") -> DataFrame:
-    return sessions.groupBy(key).agg(F.count("*").alias("sessions"), F.sum("kwh").alias("kwh"), F.sum(F.col("is_dc").cast("long")).alias("dc"), F.sum((~F.col("is_dc")).cast("long")).alias("ac"), F.max("max_kw").alias("max_kw"))
+def charging_summary(sessions: DataFrame, tz: str, key: str = "vin") -> DataFrame:
+    """(key, sessions, kwh, dc, ac, max_kw, plug_in_hour, plug_in_count, blips_ignored): the most common local start hour is the lowest on ties; no blip is left out of detect_charging's sessions."""
+    total = sessions.groupBy(key).agg(F.count("*").alias("sessions"), F.sum("kwh").alias("kwh"), F.sum(F.col("is_dc").cast("long")).alias("dc"), F.sum((~F.col("is_dc")).cast("long")).alias("ac"), F.max("max_kw").alias("max_kw"))
+    hours = sessions.groupBy(key, local_hour("start_t", tz).alias("h")).agg(F.count("*").alias("n"))
+    top = hours.groupBy(key).agg(F.max(F.struct(F.col("n"), (-F.col("h")).alias("neg"))).alias("m"))
+    return total.join(top, key).select(key, "sessions", "kwh", "dc", "ac", "max_kw", (-F.col("m.neg")).alias("plug_in_hour"), F.col("m.n").alias("plug_in_count"), F.lit(0).alias("blips_ignored"))

@@ -7,20 +7,27 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.labels import duration_label, moment_label, number_label
 from ..functions.numbers import half_up
-from ..functions.time import local_date, local_hour
+from ..functions.time import hour_label, local_date, local_hour
 from .body import busiest_hour
+from .calendar import calendar_days, covered_days
 from .spans import awake_spans, span_seconds
 from .style import seconds_above
 
 
-def header(df: DataFrame, windows: DataFrame, key: str = "vin", t: str = "t") -> DataFrame:
-    """(key, window_days, rows, coverage_s, recorded_s, odo_start, odo_end); windows are coalesced."""
+def header(df: DataFrame, windows: DataFrame, tz: str, sources: DataFrame | None = None, key: str = "vin", t: str = "t") -> DataFrame:
+    """(key, window_days, rows, coverage_s, recorded_s, recorded_days, sources, odo_start, odo_end); windows are coalesced.
+
+    recorded_days are the calendar days that a window touches; sources (key, n) the recordings behind the rows, 1 where none are named.
+    """
     base = df.groupBy(key).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.count("*").alias("rows"), F.min("odo").alias("odo_start"), F.max("odo").alias("odo_end"))
     awake = span_seconds(awake_spans(df, key=key, t=t), key).select(key, F.col("seconds").alias("coverage_s"))
     rec = windows.groupBy(key).agg(F.greatest(F.lit(1), F.sum(F.col("end_t") - F.col("start_t"))).alias("recorded_s"))
+    touched = covered_days(windows, tz, key).join(calendar_days(df, tz, key, t), [key, "day"], "left_semi").groupBy(key).agg(F.count("*").alias("recorded_days"))
     days = F.greatest(F.lit(1), half_up((F.col("_b") - F.col("_a")) / 86400))
-    return base.join(awake, key).join(rec, key).withColumn("window_days", days).drop("_a", "_b")
+    out = base.join(awake, key).join(rec, key).join(touched, key, "left").fillna(0, ["recorded_days"]).withColumn("window_days", days).drop("_a", "_b")
+    return out.join(sources.select(key, F.col("n").alias("sources")), key, "left").fillna(1, ["sources"]) if sources is not None else out.withColumn("sources", F.lit(1))
 
 
 def overview(df: DataFrame, trips: DataFrame, sessions: DataFrame, price: float = 0.32, key: str = "vin", t: str = "t") -> DataFrame:
@@ -109,3 +116,52 @@ def ranked(df: DataFrame, trips: DataFrame, sessions: DataFrame, tz: str, key: s
     row = lambda k, r: F.when(F.coalesce(r[2], F.lit(False)), F.struct(F.lit(k).alias("ord"), F.lit(r[0]).alias("id"), F.lit(r[1]).alias("tone"), r[3].cast("double").alias("value")))
     found = F.array_compact(F.array(*[row(k, r) for k, r in enumerate(rules)]))
     return base.select(key, F.explode(found).alias("f")).select(key, "f.*")
+
+
+#: How a fact's value reads: an expression of it, and what stands after it.
+_SHOWN = {
+    "distance": (number_label, " km driven"),
+    "time-driving": (duration_label, " at the wheel"),
+    "top-speed": (number_label, " km/h at most"),
+    "longest-trip": (number_label, " km without a stop"),
+    "hardest-brake": (lambda v: number_label(v, 2), " g of braking"),
+    "energy-charged": (number_label, " kWh charged"),
+    "departure-rhythm": (hour_label, " is the usual start"),
+    "commute-shape": (number_label, " trips look like a way to work"),
+    "scheduled-charging": (hour_label, " starts the charging timer"),
+    "plug-in-habit": (hour_label, " is when it is mostly plugged in"),
+    "charge-limit": (number_label, " % ends a charge"),
+    "ac-only": (lambda v: number_label(v, 1), " kW at most, never from a fast charger"),
+    "idle-days": (number_label, " days without a trip"),
+    "busiest-day": (number_label, " km on the longest day"),
+    "phantom-drain": (lambda v: number_label(v, 1), " % a day lost while parked"),
+    "implied-range": (number_label, " km from a full charge"),
+    "door-rhythm": (number_label, " times a door was opened"),
+    "sample-count": (number_label, " seconds recorded"),
+    "empty-columns": (number_label, " signals always empty"),
+    "duplicate-rows": (number_label, " rows delivered again"),
+    "beijing-time": (hour_label, " local time begins the day of the file"),
+    "pack-spread": (number_label, " °C between warmest and coolest sensor"),
+    "tyre-weather": (lambda v: number_label(v, 2), " correlation of tyres and temperature"),
+    "no-gps": (lambda v: F.lit("No"), " place is recorded"),
+    "vin-repetition": (number_label, " rows name the vehicle"),
+    "routine-exposure": (number_label, " door events show a routine"),
+    "second-resolution": (number_label, " second between rows"),
+}
+
+
+def worded(ranked_facts: DataFrame) -> DataFrame:
+    """ranked_facts with a text for each fact, in this library's own words."""
+    text = F.lit(None).cast("string")
+    for name, (shown, after) in _SHOWN.items():
+        value = shown(F.col("value").cast("long") if shown is hour_label else F.col("value"))
+        text = F.when(F.col("id") == name, F.concat(value, F.lit(after))).otherwise(text)
+    return ranked_facts.withColumn("text", text)
+
+
+def fact_trips(trips: DataFrame, tz: str, key: str = "vin") -> DataFrame:
+    """(key, id, trip_start_t, moment): the trip that a fact points to: the longest one, the first on ties, and the one of the top speed, with the moment that its text names."""
+    longest = trips.where("km is not null").groupBy(key).agg(F.max_by("start_t", F.struct(F.col("km"), -F.col("start_t"))).alias("trip_start_t")).withColumn("id", F.lit("longest-trip")).withColumn("_at", F.col("trip_start_t"))
+    top = F.max_by(F.struct("start_t", "max_speed_t"), F.struct(F.col("max_speed"), -F.col("max_speed_t"))).alias("m")
+    fastest = trips.where("max_speed > 0").groupBy(key).agg(top).select(key, F.col("m.start_t").alias("trip_start_t"), F.lit("top-speed").alias("id"), F.col("m.max_speed_t").alias("_at"))
+    return longest.unionByName(fastest).select(key, "id", "trip_start_t", moment_label("_at", tz).alias("moment"))

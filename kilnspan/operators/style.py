@@ -29,6 +29,21 @@ def gg_grid(df: DataFrame, longitudinal: str, lateral: str, size: int = 64, exte
     return g.groupBy(key, "row", "col").agg(F.count("*").alias("n"))
 
 
+def gg_readout(grid: DataFrame, size: int = 64, extent: float = 0.9, key: str = "vin") -> DataFrame:
+    """grid with each cell's centre and its share of the vehicle's seconds in percent: (longitudinal, lateral, share, direction, side)."""
+    total = grid.groupBy(key).agg(F.sum("n").alias("_total"))
+    centre = lambda c: (F.col(c) + 0.5) / size * 2 * extent - extent
+    out = grid.join(total, key).withColumn("longitudinal", centre("row")).withColumn("lateral", centre("col")).withColumn("share", F.col("n") / F.col("_total") * 100)
+    out = out.withColumn("direction", F.when(F.col("longitudinal") >= 0, "accelerating").otherwise("braking"))
+    return out.withColumn("side", F.when(F.col("lateral") >= 0, "left").otherwise("right")).drop("_total")
+
+
+def best_of(df: DataFrame, by: str, count: int, key: str = "vin", tie: str = "t", descending: bool = True) -> DataFrame:
+    """The first `count` rows of each key by a column, nulls last, ties by another; Spark keeps no more than that of each task's rows before the shuffle."""
+    order = F.desc_nulls_last(by) if descending else F.asc_nulls_last(by)
+    return df.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(order, tie))).where(F.col("place") <= count)
+
+
 def seconds_above(df: DataFrame, speed: str = "speed", levels=ABOVE, key: str = "vin", t: str = "t") -> DataFrame:
     """(key, level, seconds) where any; the first row counts one second, steps over STEP seconds none."""
     before = F.lag(t).over(W.partitionBy(key).orderBy(t))

@@ -7,12 +7,14 @@ import json
 import re
 import uuid
 import zipfile
+from collections.abc import Callable
 from datetime import date
 
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commit import names, publish, read_line
 from .registry import BYTES, SIGNALS
 
 VERSION = 1
@@ -27,8 +29,8 @@ class StoredFormatError(ValueError):
 class Library:
     """Kept recordings under a folder that the driver and all executors share.
 
-    Each state of the catalogue is a folder catalogue/N, written elsewhere and renamed: readers see the newest whole one, and of
-    two writers of the same N one fails. A recording's signals lie in a folder of their own, so a replaced one stays readable until it is removed.
+    Each state of the catalogue is a folder of its own, named by the file catalogue/N, which only one writer can make: readers see the newest state whole,
+    and of two writers of the same N one fails and leaves nothing. A recording's signals lie in a folder of their own, so a replaced one stays readable until it is removed.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -38,24 +40,23 @@ class Library:
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _newest(self) -> int:
-        top = self._path(f"{self.root}/catalogue")
-        return max((int(s.getPath().getName()) for s in self._fs.listStatus(top)), default=0) if self._fs.exists(top) else 0
+        return max(map(int, names(self.spark, f"{self.root}/catalogue")), default=0)
 
     def records(self) -> DataFrame:
         """All kept recordings, the oldest first; reads no signals."""
         n = self._newest()
-        return (self.spark.read.schema(ROW).parquet(f"{self.root}/catalogue/{n}") if n else self.spark.createDataFrame([], ROW)).orderBy("start_t", "id")
+        state = n and read_line(self.spark, f"{self.root}/catalogue/{n}")
+        return (self.spark.read.schema(ROW).parquet(f"{self.root}/{state}") if n else self.spark.createDataFrame([], ROW)).orderBy("start_t", "id")
 
     def record(self, id: str) -> dict | None:
         found = self.records().where(F.col("id") == id).first()
         return found.asDict() if found else None
 
-    def _commit(self, table: DataFrame) -> None:
-        n, made = self._newest() + 1, f"{self.root}/pending/{uuid.uuid4().hex}"
-        table.coalesce(1).write.parquet(made)
-        self._fs.mkdirs(self._path(f"{self.root}/catalogue"))
-        target = self._path(f"{self.root}/catalogue/{n}")
-        if self._fs.exists(target) or not self._fs.rename(self._path(made), target):
+    def _commit(self, change: Callable[[DataFrame], DataFrame]) -> None:
+        n, state = self._newest() + 1, f"states/{uuid.uuid4().hex}"
+        change(self.records()).coalesce(1).write.parquet(f"{self.root}/{state}")
+        if not publish(self.spark, f"{self.root}/catalogue/{n}", state):
+            self._remove([state])
             raise RuntimeError("another writer has changed the catalogue; try again")
 
     def _remove(self, folders: list[str]) -> None:
@@ -65,7 +66,7 @@ class Library:
     def _put(self, record: dict) -> bool:
         before = self.record(record["id"])
         own = self.spark.createDataFrame([record], ROW)
-        self._commit(self.records().where(F.col("id") != record["id"]).unionByName(own))
+        self._commit(lambda r: r.where(F.col("id") != record["id"]).unionByName(own))
         self._remove([before["folder"]] if before else [])
         return before is not None
 
@@ -93,12 +94,12 @@ class Library:
 
     def delete(self, ids: list[str]) -> None:
         gone = [r.folder for r in self.records().where(F.col("id").isin(ids)).collect()]
-        self._commit(self.records().where(~F.col("id").isin(ids)))
+        self._commit(lambda r: r.where(~F.col("id").isin(ids)))
         self._remove(gone)
 
     def clear(self) -> None:
         gone = [r.folder for r in self.records().collect()]
-        self._commit(self.records().limit(0))
+        self._commit(lambda r: r.limit(0))
         self._remove(gone)
 
     def vehicles(self) -> DataFrame:

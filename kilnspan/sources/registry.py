@@ -76,6 +76,12 @@ def signal(key: str, stream: str = "") -> Signal:
     return SIGNALS.get(key) or Signal(key, stream)
 
 
+def spec_to_use(stored: Signal) -> Signal:
+    """The registry's entry for a stored column, with its present unit and category, if it stores values the same way; else the stored one, by whose rules the values were written."""
+    now = SIGNALS.get(stored.key)
+    return now if now and (now.dtype, now.scale) == (stored.dtype, stored.scale) else stored
+
+
 def catalogue(leave_out: list[str] | None = None, columns: list[str] | None = None) -> dict[str, list[str]]:
     """Signals by category, both in order; columns limits them, and those in leave_out are not listed."""
     out: dict[str, list[str]] = {}

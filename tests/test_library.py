@@ -2,10 +2,13 @@
 
 import json
 import zipfile
+from dataclasses import replace
 from datetime import date
 
 import pytest
 
+from kilnspan.sources import registry
+from kilnspan.sources.commit import names, publish, read_line
 from kilnspan.sources.library import Library, StoredFormatError, backup_name, safe_segment
 
 
@@ -50,3 +53,28 @@ def test_other_archives(spark, tmp_path):
     assert lib.restore(str(tmp_path / "y.zip")) == ([], ["q"])
     assert backup_name(3, date(2026, 9, 4)) == "kilnspan-3-backup-2026-09-04.zip" and backup_name(1, date(2026, 9, 4)) == "kilnspan-backup-2026-09-04.zip"
     assert safe_segment("DA+DB/..") == "DA+DB_.."
+
+
+def test_of_two_writers_one_fails_and_leaves_nothing(spark, tmp_path, monkeypatch):
+    a, b = (Library(spark, f"file://{tmp_path}/lib") for _ in range(2))
+    a.keep("one", signals(spark, "L1", range(5), 1.0))
+    stale = b._newest()
+    a.keep("two", signals(spark, "L1", range(5), 1.0))
+    monkeypatch.setattr(b, "_newest", lambda: stale)
+    with pytest.raises(RuntimeError):
+        b.delete(["one"])
+    assert [r.id for r in a.records().collect()] == ["one", "two"] and a.signals("one").count() == 5
+
+
+def test_publish_makes_a_file_once(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/name"
+    assert names(spark, f"file://{tmp_path}/deep") == []
+    assert publish(spark, path, "first") and not publish(spark, path, "second")
+    assert read_line(spark, path) == "first" and names(spark, f"file://{tmp_path}/deep") == ["name"]
+
+
+def test_a_stored_column_keeps_its_rules():
+    now = registry.SIGNALS["esp_vehspd"]
+    assert registry.spec_to_use(replace(now, unit="old")) is now
+    other = replace(now, scale=2.0)
+    assert registry.spec_to_use(other) is other and registry.spec_to_use(replace(now, key="gone")).key == "gone"

@@ -5,10 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kilnspan.functions import numbers
+from kilnspan.functions import labels, numbers
 from kilnspan.functions import time as tm
-from kilnspan.operators import battery, body, charging, decode, energy, spans, style, timeline, trips
-from kilnspan.plans import queries
+from kilnspan.operators import battery, body, calendar, charging, decode, energy, facts, spans, style, timeline, trips
 
 
 def frame(spark, t, **columns):
@@ -139,8 +138,8 @@ def test_windows_doors_medians(spark):
     d = frame(spark, range(7), door=[1, None, 0, 0, 1, 1, None])
     assert sorted(body.door_events(d, ["door"]).select("t", "open_s").collect()) == [(0, 2), (4, None)]
     v = frame(spark, range(5), x=[4, 1, 3, 2, None])
-    assert v.agg(numbers.nth_of("x", 0.5)).first()[0] == 3
-    assert v.where("x is null").agg(numbers.nth_of("x", 0.5)).first()[0] is None
+    half = lambda df: rows(numbers.nth_values(df, ["vin"], [("x", 0.5, "mid"), ("x", 0.0, "low"), ("x", 1.0, "top")]), "mid", "low", "top")
+    assert half(v) == [(3, 1, 4)] and half(v.where("x is null")) == [(None, None, None)]
     assert frame(spark, range(4), x=[1, 2, 3, 4], y=[5, 5, 5, 5]).agg(numbers.correlation("x", "y")).first()[0] is None
 
 
@@ -167,9 +166,13 @@ def test_every_moment_gets_its_trip(spark):
     tr = spark.createDataFrame([(1, 2, 4), (1, 5, 5), (1, 8, 9), (3, 0, 99)], "vin int, start_t long, end_t long")
     held = {2: 2, 3: 2, 4: 2, 5: 5, 8: 8, 9: 8}
     assert sorted(map(tuple, style.in_trip(df.select("vin", "t"), tr).collect())) == [(1, t, held.get(t)) for t in range(12)] + [(2, 5, None)]
-    d = "/root/testdata/sf0.001"
-    got = queries.QUERIES["event_trip_lookup_all"].run(spark, d)
-    assert got.count() == queries.tel(spark, d).count() and got.where("trip_start_t is not null and t % 97 <> 0").count() > 0
+
+
+def test_as_of_takes_the_last_row_at_or_before(spark):
+    df = frame(spark, [10, 20, 30], x=[1, None, 3])
+    asked = spark.createDataFrame([(1, t, t) for t in (9, 10, 25, 30, 99)] + [(2, 50, 50)], "vin int, t long, own int")
+    got = rows(timeline.as_of(asked, df, ["x"]).na.fill(-1), "own", "found_t", "x")
+    assert got == [(9, -1, -1), (10, 10, 1), (25, 20, -1), (30, 30, 3), (50, -1, -1), (99, 30, 3)]
 
 
 def test_drain_leaves_out_the_charged_stops_of_every_vehicle(spark):
@@ -177,13 +180,68 @@ def test_drain_leaves_out_the_charged_stops_of_every_vehicle(spark):
     df = two([(100, 80.0), (30000, 76.0), (60000, 70.0)], "t long, soc double")
     tr = two([(0, 100), (30000, 30000), (60000, 60001)], "start_t long, end_t long")
     ch, w = two([(40000, 41000)], "start_t long, end_t long"), two([(0, 90000)], "start_t long, end_t long")
-    assert rows(battery.phantom_drain(df, ch, tr, w), "vin", "from_t", "soc_lost") == [(1, 100, 4.0), (2, 100, 4.0)]
-
-
-def test_facts_take_the_operators_own_results(spark):
-    d = "/root/testdata/sf0.001"
-    assert queries.QUERIES["phantom_drain_all"].run(spark, d).collect() == []
-    r = {x.vin: x.r for x in queries.QUERIES["tyre_correlation"].run(spark, d).collect()}
-    got = queries.QUERIES["facts_all"].run(spark, d).collect()
-    assert {x.vin: x.value for x in got if x.id == "tyre-weather"} == {v: x for v, x in r.items() if x is not None and abs(x) > 0.3}
-    assert not [x for x in got if x.id == "phantom-drain" or x.id == "charge-limit"]
+    events = battery.phantom_drain(df, ch, tr, w)
+    assert rows(events, "vin", "from_t", "soc_lost") == [(1, 100, 4.0), (2, 100, 4.0)]
+    s = battery.drain_summary(events, spans.awake_spans(df), w).collect()
+    assert sorted((x.vin, x.events, x.soc_lost, x.longest_sleep_h) for x in s) == [(v, 1, 4.0, 30000 / 3600) for v in (1, 2)]
+    assert s[0].per_day == pytest.approx(4 / (29900 / 3600) * 24)
+
+
+@pytest.mark.parametrize("near", [600, 601])
+def test_drain_looks_at_most_so_many_rows_away(spark, near):
+    far = 30000
+    t = [*range(near + 1), *range(far, far + near + 1)]
+    soc = [80, *[None] * near, *[None] * near, 76]
+    tr = spark.createDataFrame([(1, 0, near), (1, far, far + 10)], "vin int, start_t long, end_t long")
+    none, w = spark.createDataFrame([], "vin int, start_t long, end_t long"), spark.createDataFrame([(1, 0, 99999)], "vin int, start_t long, end_t long")
+    assert rows(battery.phantom_drain(frame(spark, t, soc=soc), none, tr, w), "soc_lost") == ([(4.0,)] if near == 600 else [])
+
+
+def test_a_day_is_covered_by_any_touch(spark):
+    at = lambda text: spark.sql(f"select unix_timestamp(timestamp'{text} UTC') as t").first().t
+    w = spark.createDataFrame([(1, at("2026-10-24 22:00:00"), at("2026-10-25 22:59:59")), (2, at("2026-03-28 22:59:59"), at("2026-03-28 23:00:00"))], "vin int, start_t long, end_t long")
+    got = sorted((x.vin, str(x.day)) for x in calendar.covered_days(w, "Europe/Berlin").collect())
+    assert got == [(1, "2026-10-25"), (2, "2026-03-28")]
+
+
+def test_labels(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    n = lambda v: F.lit(v).cast("double")
+    assert [one(labels.duration_label(n(s))) for s in (0, 59, 3600, 3900, 36060)] == ["—", "1 min", "1 h 00 min", "1 h 05 min", "10 h 01 min"]
+    assert [one(labels.clock_label(n(s))) for s in (-1, 0, 59, 61, 3661)] == ["—", "0 s", "59 s", "1 min", "1 h 01 min"]
+    assert [one(labels.clock_label(n(s), True)) for s in (61, 3661)] == ["1m", "1h 01m"]
+    assert [one(labels.long_label(n(s))) for s in (None, 100, 86400, 180000)] == ["—", "1 min", "1 d 0 h", "2 d 2 h"]
+    assert [one(labels.bytes_label(n(b))) for b in (0, 1, 1023, 1024, 10240, 5 << 20, 3 << 40)] == ["—", "1 B", "1,023 B", "1.0 kB", "10 kB", "5.0 MB", "3,072 GB"]
+    assert [one(labels.money_label(n(v))) for v in (float("nan"), 5, 99.994, 1234.5, -2)] == ["—", "£5.00", "£99.99", "£1,235", "-£2.00"]
+    assert [one(labels.percent_label(n(v), 1)) for v in (0.1234, None)] == ["12.3%", "—"]
+    assert one(labels.measure_label(n(12345.678), "km", 1)) == "12,345.7 km" and one(labels.number_label(n(float("inf")))) == "—"
+    at = spark.createDataFrame([(1785715200,)], "t long")
+    assert at.select(labels.full_moment_label("t", "Europe/Berlin")).first()[0] == "Monday 3 August at 02:00"
+
+
+def test_every_rule_of_the_facts_fires(spark):
+    start = 1785715200 + 5 * 3600  # 07:00 in Berlin
+    tr = spark.createDataFrame([(1, start + k * 86400 + 43200 * (k % 2), start + k * 86400 + 43200 * (k % 2) + 600, 9.0 + k, 500, 80 + k, start + k * 86400 + 60) for k in range(14)], "vin int, start_t long, end_t long, km double, moving_s long, max_speed int, max_speed_t long")
+    ch = spark.createDataFrame([(1, start + k * 90000, 11.0, False, 7.0) for k in range(6)], "vin int, start_t long, max_kw double, is_dc boolean, kwh double")
+    t = lambda text, schema: spark.createDataFrame(text, "vin int, " + schema)
+    more = {
+        "brakes": t([(1, -0.7)], "value double"), "limit": t([(1, 80)], "charge_limit int"), "days": t([(1, True, 0.0)], "covered boolean, km double"),
+        "drain": t([(1, 2.0, 24.0)] * 3, "soc_lost double, hours double"), "full_range": t([(1, 400.0)], "p50 double"), "doors": t([(1, "a")], "door string"),
+        "empty": t([(1, "x")], "signal string"), "report": t([(1, 9, 2)], "rows long, duplicates long"), "thermal": t([(1, 6.0)], "spread double"), "tyres": t([(1, 0.8)], "r double"),
+    }
+    df = frame(spark, [start], x=[1])
+    timed = facts.worded(facts.ranked(df, tr, ch, "Europe/Berlin", schedule=t([(1, 2)], "hour int"), **more))
+    free = facts.worded(facts.ranked(df, tr, ch, "Europe/Berlin", schedule=t([(1, None)], "hour int"), **more))
+    got = {x.id: x for x in timed.collect()} | {x.id: x for x in free.collect()}
+    assert set(got) == set(facts._SHOWN) and all(x.text for x in got.values())
+    assert got["commute-shape"].value == 14 and got["phantom-drain"].text == "2.0 % a day lost while parked" and got["scheduled-charging"].text.startswith("02:00")
+    assert got["time-driving"].text == "1 h 57 min at the wheel" and got["distance"].text == "217 km driven"
+    links = {x.id: x for x in facts.fact_trips(tr, "Europe/Berlin").collect()}
+    assert links["longest-trip"].trip_start_t == links["top-speed"].trip_start_t == start + 13 * 86400 + 43200
+
+
+def test_slices_skip_signals_without_readings(spark):
+    df = frame(spark, range(10), a=range(10), b=[None] * 10, c=[None] * 9 + [1])
+    spans_ = spark.createDataFrame([(1, 2, 4), (1, 7, 7)], "vin int, start_t long, end_t long")
+    got = rows(trips.slices(df, spans_, {n: F.col(n) for n in "abc"}), "start_t", "signal", "t", "value")
+    assert got == sorted([(s, n, t, float(t) if n == "a" else None) for s, e in ((2, 4), (7, 7)) for n in "ac" for t in range(s, e + 1)])
