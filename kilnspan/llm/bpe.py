@@ -20,6 +20,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Words whose ids a worker remembers; beyond it the table starts anew, which costs time and changes no result.
 REMEMBERED = 1_000_000
 
@@ -148,4 +150,5 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
                     rest.append(pa.array([hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n, *rest], [f.split()[0] for f in schema.split(", ")])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, schema)

@@ -2,89 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, cut_and_sweep, drop, shared_dir, sweep
+
+__all__ = ["cut", "cut_and_sweep", "drop", "shared_dir", "sweep"]
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Texts in an Arrow batch.
 TEXTS = 1024
-_own_dir: str | None = None
-#: Folders of cut() that are there still.
-_written: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which every executor sees; a temporary one only in local mode without that setting."""
-    global _own_dir
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    _own_dir = _own_dir or tempfile.mkdtemp(prefix="kilnspan-")
-    return f"file://{_own_dir}"
-
-
-def cut(df: DataFrame, name: str = "cut", batch: int | None = None) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, lineage ended, safe when executors are lost.
-
-    batch: the most rows that one Arrow batch holds meanwhile, for steps that pass whole texts to Python.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(BATCH_ROWS)
-    if batch:
-        spark.conf.set(BATCH_ROWS, str(min(batch, int(before)) if int(before) > 0 else batch))
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        if batch:
-            spark.conf.set(BATCH_ROWS, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._folder = path
-    _written.append(path)
-    return out
-
-
-def drop(*tables: DataFrame) -> None:
-    """Delete the folders of tables that cut() returned, once all that reads them is written."""
-    for df in tables:
-        _delete(df.sparkSession, df._folder)
-
-
-def sweep(spark: SparkSession, keep: tuple[DataFrame, ...] = (), mark: int = 0) -> None:
-    """Delete all folders that cut() has written (after the first `mark` of them) but those of `keep`.
-
-    Operators return lazily, so the tables that their results read stay until a caller who has written the result sweeps them.
-    """
-    for path in _written[mark:]:
-        if path not in [df._folder for df in keep]:
-            _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    if path in _written:
-        _written.remove(path)
-
-
-def cut_and_sweep(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """cut() of what make returns, without the folders that make has cut on the way: the result no longer reads them."""
-    mark = len(_written)
-    out = cut(make(), name)
-    sweep(out.sparkSession, (out,), mark)
-    return out
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session passes at most TEXTS rows at once to Python. Texts are long, and results come back lazily, so the setting has to outlast the call."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= TEXTS:
+        spark.conf.set(BATCH_ROWS, str(TEXTS))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .passages import WORDS, Context, Units, cleaned, repeated_spans, without
+from .passages import WORDS, Context, Units, cleaned, kept_pieces, kept_text, repeated_spans
 
 _K = 0x9E3779B97F4A7C15
 _K_INVERSE = pow(_K, -1, 1 << 64)
@@ -108,6 +108,21 @@ def removal_report(docs: DataFrame, window: int = WORDS.window) -> DataFrame:
             keep += words[at:i]
             at = j
         keep += words[at:]
-        return len(words), len(words) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest(), without(text or b"", runs, units).decode()
+        return len(words), len(words) - len(keep), hashlib.sha256(b" ".join(keep)).hexdigest(), kept_text(kept_pieces(text or b"", runs, units))
 
     return cleaned(docs, repeated_spans(docs, units, by_factors, later_only=True), ["doc_id"], apply, "n_words long, n_removed long, kept_sha256 string, text string")
+
+
+_SPACE, _WORD = "[\\x20\\x09-\\x0D]", "[^\\x20\\x09-\\x0D]"
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}+') AS w, regexp_extract_all(coalesce(text, ''), '{_SPACE}*{_WORD}+') AS c FROM documents),
+x AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+h AS (SELECT r, doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM x),
+f AS (SELECT h, min(doc_id) AS first FROM h GROUP BY h),
+hit AS (SELECT r, i, i AS s FROM h JOIN f USING (h) WHERE doc_id > first),
+p AS (SELECT r, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word, unnest(c) AS chunk FROM d),
+g AS (SELECT r, i, word, chunk, max(s) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM p LEFT JOIN hit USING (r, i)),
+t AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY r ORDER BY i) AS before FROM g),
+a AS (SELECT r, count(*) FILTER (gone) AS n, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept, string_agg(CASE WHEN NOT gone THEN chunk WHEN before THEN '' ELSE left(chunk, length(chunk) - length(word)) END, '' ORDER BY i) AS text FROM t GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256, coalesce(a.text, '') || regexp_extract(d.text, '{_SPACE}*$') AS text FROM d LEFT JOIN a USING (r)
+"""

@@ -248,6 +248,18 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93) -> DataFrame:
     linked = found.groupBy("a").agg(F.sum("n").alias("n"))
     roots = cut(components(found.where("a <> root").select(F.col("a").alias("u"), F.col("root").alias("v"))), "roots")
     named = classes.join(linked, "a", "left").join(roots.withColumnRenamed("node", "a"), "a", "left").select("label", "e", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "a").alias("component_id"))
-    rows = v.withColumn("e", F.when(sound, F.col("e"))).join(named, ["label", "e"], "left")
-    own = F.coalesce("component_id", "vec_id")
-    return rows.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+    linked = good.join(named, ["label", "e"]).select("vec_id", "n_links", "component_id")
+    alone = v.where(~sound).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    own = F.col("component_id")
+    return linked.unionByName(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), own, F.coalesce(own == F.col("vec_id"), F.lit(True)).alias("kept"))
+
+
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (SELECT DISTINCT a AS n, a AS m FROM l UNION SELECT l.b, reach.m FROM reach JOIN l ON reach.n = l.a),
+c AS (SELECT n, min(m) AS m FROM reach GROUP BY n),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, coalesce(c.m, vec_id) AS component_id, coalesce(c.m, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id
+"""

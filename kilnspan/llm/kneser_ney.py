@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions
+from .common import cut, partitions, small_batches
 from .passages import packed, unpack
 
 ORDER = 5
@@ -74,6 +74,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
             held = _merge(held, _distinct(chunk))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["g", "c"])
 
+    small_batches(texts.sparkSession)
     return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import TEXTS, cut, partitions, row_key
+from .common import cut, partitions, row_key, small_batches
 
 #: Contexts of one anchor that one task may gather.
 GROUP = 4096
@@ -62,8 +62,8 @@ WORDS = Units(8, 50, 4)
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
-def without(text: bytes, runs: list[list[int]], units: Units) -> bytes:
-    """The text without these runs of its units; a run of words goes with the space inside it."""
+def kept_pieces(text: bytes, runs: list[list[int]], units: Units) -> list[bytes]:
+    """What these runs of its units leave of a text; a run of words goes with the space inside it."""
     if units.size > 1 and runs:
         ends = np.array([m.span() for m in _WORD.finditer(text)])
         runs = [[ends[i][0], ends[j - 1][1]] for i, j in runs]
@@ -72,7 +72,12 @@ def without(text: bytes, runs: list[list[int]], units: Units) -> bytes:
         out.append(text[at:i])
         at = j
     out.append(text[at:])
-    return b"".join(out)
+    return out
+
+
+def kept_text(pieces: list[bytes]) -> str:
+    """The pieces as text; characters of which a part is gone go whole."""
+    return "".join(p.decode("utf-8", "ignore") for p in pieces)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
@@ -151,6 +156,8 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
     if columns:
         fields.append(T.StructField("own", docs.select(*own).schema["own"].dataType))
 
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(3).compress
         for whole in batches:
@@ -285,8 +292,9 @@ def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only
     later_only: a window counts if it also starts in a row with a smaller doc_id (null is the largest); else if it also starts anywhere else.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     keyed = docs.select(_key(docs).alias("r"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "text").where(F.octet_length("text") >= units.window)
-    occ = cut(keyed.mapInArrow(_spot(units), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences", TEXTS)
+    occ = cut(keyed.mapInArrow(_spot(units), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences")
     contexts = occ.groupBy("c").agg(F.count("*").alias("k"), F.min("d").alias("m"), F.min("o").alias("o"), F.min("a").alias("a"))
     shared = contexts.withColumn("g", F.count("*").over(W.partitionBy("a"))).where("g > 1 or k > 1")
     found = cut(occ.drop("a").join(shared.select("c", "a", "k", "m", "g", F.col("o").alias("first")), "c"), "found")
@@ -297,7 +305,7 @@ def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only
     texts = packed(docs.where(F.octet_length("text") >= units.window))
     fetched = texts.join(wanted, "r").select("z", "wanted").mapInArrow(_fetch(units), "a long, c long, m long, k long, n int, p int, u binary")
     large = found.where(f"o = first and g > {GROUP}").select("a").distinct()
-    fetched = cut(fetched.dropDuplicates(["c"]), "contexts", TEXTS)
+    fetched = cut(fetched.dropDuplicates(["c"]), "contexts")
     usual = fetched.join(large, "a", "left_anti").repartition(partitions(spark), "a").sortWithinPartitions("a")
     settled = usual.mapInArrow(_resolve(units, resolver), "c long, i int, j int")
     windows = fetched.join(large, "a", "left_semi").mapInArrow(_windows(units), "w long, c long, m long, k long, i int")

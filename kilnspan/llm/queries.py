@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import bpe, factors, hnsw, kneser_ney, mixing, rollup, simhash, suffix_dedup, toxicity, vafile
 from .common import table
 
-RANKS = "byte_bpe_multi_50k.tiktoken"
+RANKS, OTHER_RANKS = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,11 +38,7 @@ def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.maintained_counts(table(spark, sf_dir, "documents"))
-
-
-def op7_all_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.all_counts(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return rollup.maintained_counts(table(spark, sf_dir, "documents"), {name: public_tokenizers.path(name) for name in (RANKS, OTHER_RANKS)}, public_tokenizers.PATTERN)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,5 +53,5 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_toxicity, op5_bpe, op6_exact_top_k, op7_token_counts, op7_all_token_counts, op8_quality, op9_suffix_dedup, op10_simhash)}
-SQL = {"op2_mixing": mixing.SQL, "op6_exact_top_k": vafile.SQL, "op7_token_counts": rollup.SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_mixing, op3_embedding_dedup, op4_toxicity, op5_bpe, op6_exact_top_k, op7_token_counts, op8_quality, op9_suffix_dedup, op10_simhash)}
+SQL = {"op1_substring_dedup": factors.SQL, "op3_embedding_dedup": hnsw.SQL, "op9_suffix_dedup": suffix_dedup.SQL, "op2_mixing": mixing.SQL, "op6_exact_top_k": vafile.SQL}

@@ -1,28 +1,28 @@
 """Token counts in rollups that are kept up by signed changes.
 
-A store is a folder of committed batches, each the summed changes of one batch by source, lang and
-tokenizer version. Totals are the sum over all batches, so batches may come in any order. A batch is written beside the store
-and renamed into it: the rename is the commit, and a batch id that is there already is left alone.
+A store holds the summed changes of each batch by source, lang and tokenizer version. Totals are the sum over
+all committed batches, so batches may come in any order. A batch's sums are written to a folder of their own; the file that
+names that folder under the batch's id is the commit. Only one writer can make it, and sums that no commit names do not count.
 """
 
 from __future__ import annotations
 
-import os
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.commit import exists, names, publish, read_line, remove
 from . import bpe
-from .common import shared_dir, word_count
+from .common import cut, shared_dir, small_batches
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long, empty long"
-#: Tokenizer versions counted natively: runs of anything but white space; the same with punctuation marks apart.
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "words-2": r"[^\x20\x09-\x0D!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]"}
 
 
 def changes(before: DataFrame | None, after: DataFrame | None) -> DataFrame:
@@ -40,18 +40,14 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._at(f"{self.path}/batches/{self._name(batch)}"))
-
-    @staticmethod
-    def _name(batch: str) -> str:
-        if not re.fullmatch(r"[\w.-]{1,100}", batch):
+    def _marker(self, batch: str) -> str:
+        if not re.fullmatch(r"[\w-][\w.-]{0,99}", batch) or batch.endswith(".tmp"):
             raise ValueError(f"not a batch id: {batch!r}")
-        return f"batch={batch}"
+        return f"{self.path}/commits/{batch}"
+
+    def committed(self, batch: str) -> bool:
+        return exists(self.spark, self._marker(batch))
 
     def apply(self, batch: str, signed: DataFrame) -> bool:
         """Commit a batch of signed rows (KEYS, tokens, sign); False if that batch is committed already. Sums are partial before the shuffle."""
@@ -59,81 +55,89 @@ class TokenRollup:
             return False
         s = F.col("sign")
         sums = signed.groupBy(*KEYS).agg(F.sum(s).alias("docs"), F.sum(s * F.col("tokens")).alias("tokens"), F.sum(F.when(F.col("tokens") == 0, s).otherwise(0)).alias("empty"))
-        staged = f"{self.path}/staging/{uuid.uuid4().hex}"
-        sums.write.parquet(staged)
-        self._fs.mkdirs(self._at(f"{self.path}/batches"))
-        won = not self.committed(batch) and self._fs.rename(self._at(staged), self._at(f"{self.path}/batches/{self._name(batch)}"))
+        made = self._write(sums)
+        won = publish(self.spark, self._marker(batch), made)
         if not won:
-            self._fs.delete(self._at(staged), True)
-        return bool(won)
+            remove(self.spark, f"{self.path}/sums/made={made}")
+        return won
+
+    def _write(self, sums: DataFrame) -> str:
+        made = f"m{uuid.uuid4().hex}"
+        sums.select(*[F.col(f.split()[0]).cast(f.split()[1]) for f in SCHEMA.split(", ")]).write.parquet(f"{self.path}/sums/made={made}")
+        return made
+
+    def _folds(self) -> int:
+        return max(map(int, names(self.spark, f"{self.path}/folds")), default=0)
+
+    def _live(self, batches: DataFrame, fold: int) -> DataFrame:
+        """The sums that count: those of this fold, if there is one, and of the batches (made) that it does not hold."""
+        if fold:
+            made = read_line(self.spark, f"{self.path}/folds/{fold}")
+            batches = batches.join(self.spark.read.schema("made string").parquet(f"{self.path}/folded/{made}"), "made", "left_anti")
+            batches = batches.unionByName(self.spark.createDataFrame([(made,)], "made string"))
+        sums = self.spark.read.schema(f"{SCHEMA}, made string").parquet(f"{self.path}/sums").join(batches, "made", "left_semi")
+        return sums.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "empty")])
+
+    def _batches(self) -> DataFrame | None:
+        return self.spark.read.text(f"{self.path}/commits").select(F.col("value").alias("made")) if names(self.spark, f"{self.path}/commits") else None
 
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens, empty)."""
-        if not self._fs.exists(self._at(f"{self.path}/batches")):
+        fold, batches = self._folds(), self._batches()
+        if batches is None:
             return self.spark.createDataFrame([], SCHEMA)
-        all_ = self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(f"{self.path}/batches")
-        return all_.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("docs", "tokens", "empty")]).where("docs <> 0 or tokens <> 0 or empty <> 0")
-
-
-def counted(docs: DataFrame, version: str) -> DataFrame:
-    """(source, lang, version, tokens) per document."""
-    tokens = word_count(F.col("text")) if version == "words-1" else F.coalesce(F.regexp_count("text", F.lit(VERSIONS[version])), F.lit(0))
-    return docs.select("source", "lang", F.lit(version).alias("version"), tokens.cast("long").alias("tokens"))
+        return self._live(batches, fold).where("docs <> 0 or tokens <> 0 or empty <> 0")
 
+    def fold(self) -> bool:
+        """Sum up all batches committed so far, so that totals need not read them one by one; False if there are none or another writer folds too."""
+        fold, batches = self._folds(), self._batches()
+        if batches is None:
+            return False
+        batches = cut(batches, "folded")  # batches committed meanwhile are left for the next fold
+        made = self._write(self._live(batches, fold))
+        batches.write.parquet(f"{self.path}/folded/{made}")
+        won = publish(self.spark, f"{self.path}/folds/{fold + 1}", made)
+        if not won:
+            remove(self.spark, f"{self.path}/sums/made={made}")
+        return won
 
-def maintained_counts(docs: DataFrame) -> DataFrame:
-    """The rollup of all documents after a history of batches.
 
-    Every document is inserted, counted as words-1; those without a source are deleted; German ones with a source are
-    revised to words-2; and the deletion is sent again, which changes nothing.
-    """
-    spark = docs.sparkSession
-    store = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    store.apply("1-insert", changes(None, counted(docs, "words-1")))
-    gone = changes(counted(docs.where("source is null"), "words-1"), None)
-    store.apply("2-delete", gone)
-    german = docs.where("lang = 'de' and source is not null")
-    store.apply("3-revise", changes(counted(german, "words-1"), counted(german, "words-2")))
-    store.apply("2-delete", gone)
-    return store.totals()
+@lru_cache(maxsize=4)
+def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
+    return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
 
 
-def encoded(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
-    """(source, lang, version, tokens) per document, counted by the encoder of the rank file at path."""
+def counted(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
+    """(source, lang, version, tokens) per document of docs (source, lang, text), counted by the rank file at path, which executors have too; null texts have no tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = bpe.codec_of(path, pattern, os.stat(path).st_mtime_ns)
+        encode = _encoding(path, pattern).encode_ordinary
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 b = whole.slice(at, 256)
-                n = [len(x) // 4 for x in codec.encode(t or "" for t in b.column(2).to_pylist())]
+                n = [len(encode(t)) if t else 0 for t in b.column(2).to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["source", "lang", "tokens"])
 
+    small_batches(docs.sparkSession)
     return docs.select("source", "lang", "text").mapInArrow(run, "source string, lang string, tokens long").select("source", "lang", F.lit(version).alias("version"), "tokens")
 
 
-def all_counts(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame:
-    """The rollup of all documents, those without a source too, by words and by the encoder of the rank file at path.
+def maintained_counts(docs: DataFrame, versions: dict[str, str], pattern: str) -> DataFrame:
+    """The rollup of all documents after a history of batches; versions: two tokenizers' names and rank files.
 
-    Every document is inserted, counted as words-1; those without a source are deleted and inserted again; German ones are revised to words-2;
-    every document is inserted as counted by the encoder; and the deletion is sent again, which changes nothing.
+    Every document is inserted, counted by the first tokenizer; those without a source are deleted and inserted again; German ones are revised
+    to the second tokenizer; the batches are folded; and the deletion is sent again, which changes nothing. Images of earlier counts come from
+    the counts kept, not from the texts. Repeated rows count as often as they occur; no documents give no rows.
     """
     spark = docs.sparkSession
+    (first, path), (second, other) = versions.items()
     store = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
-    store.apply("1-insert", changes(None, counted(docs, "words-1")))
-    none = counted(docs.where("source is null"), "words-1")
+    images = cut(counted(docs, first, path, pattern), "images")
+    none = images.where("source is null")
+    store.apply("1-insert", changes(None, images))
     store.apply("2-delete", changes(none, None))
     store.apply("3-again", changes(None, none))
-    german = docs.where("lang = 'de'")
-    store.apply("4-revise", changes(counted(german, "words-1"), counted(german, "words-2")))
-    store.apply("5-encode", changes(None, encoded(docs, version, path, pattern)))
+    store.apply("4-revise", changes(images.where("lang = 'de'"), counted(docs.where("lang = 'de'"), second, other, pattern)))
+    store.fold()
     store.apply("2-delete", changes(none, None))
     return store.totals()
-
-
-SQL = """
-SELECT source, lang, version, CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST(count(*) FILTER (n = 0) AS BIGINT) AS empty FROM (
-  SELECT source, lang, CASE WHEN lang = 'de' THEN 'words-2' ELSE 'words-1' END AS version,
-    len(regexp_extract_all(coalesce(text, ''), CASE WHEN lang = 'de' THEN '[^\\x20\\x09-\\x0D!-/:-@\\[-`{-~]+|[!-/:-@\\[-`{-~]' ELSE '[^\\x20\\x09-\\x0D]+' END)) AS n
-  FROM documents WHERE source IS NOT NULL) GROUP BY ALL
-"""

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, row_key
+from .common import cut, row_key, small_batches
 from .components import components
 
 #: Generator polynomials of the perfect binary Golay code of length 23 (radius 3) and the Hamming code of length 15 (radius 1).
@@ -27,7 +27,7 @@ GOLAY, HAMMING = 0b101011100011, 0b10011
 #: (bits, generator, length of the code, radius); bits past the code's length are anchors as they are.
 PIECES = ((23, GOLAY, 23, 3), (23, GOLAY, 23, 3), (18, HAMMING, 15, 1))
 THRESHOLD = 4
-#: Members of an anchor compared by one task at a time; larger anchors are cut into blocks, each pair of blocks a task.
+#: Members of an anchor compared by one task at a time. Larger anchors are dealt to finer groups, and what is larger still is cut into blocks, each pair of blocks a task.
 BLOCK = 4096
 #: Stands for a missing doc_id.
 NONE = (1 << 63) - 1
@@ -61,6 +61,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFr
             fps = np.array([fingerprint(t.as_py(), width, seed) for t in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(fps)], ["doc_id", "r", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").mapInArrow(run, "doc_id long, r long, fp long")
 
 
@@ -165,14 +166,36 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
     placed = cut(distinct.select("fp").mapInArrow(place, "anchor long, fp long"), "anchors")
     # at most one row for each codeword of PIECES: 24,576
-    blocks = placed.groupBy("anchor").count().where("count > 1").select("anchor", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    sizes = placed.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > BLOCK).alias("large"))
+    members = placed.join(F.broadcast(sizes), "anchor")
+    usual = members.where("not large").select(F.col("anchor").alias("g"), "fp")
+    groups = cut(usual.unionByName(_finer(members.where("large"), threshold)), "groups")
+    over = groups.groupBy("g").count().where(F.col("count") > BLOCK).select("g", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
+    n = F.coalesce("n", F.lit(1))
     pairs = (
-        placed.join(F.broadcast(blocks), "anchor")
-        .withColumn("block", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select("anchor", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
+        groups.join(over, "g", "left")
+        .withColumn("block", F.pmod(F.xxhash64("fp"), n).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
+        .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     )
-    return pairs.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j").mapInArrow(_local_links(threshold), "u long, v long")
+    return pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_local_links(threshold), "u long, v long")
+
+
+def _finer(members: DataFrame, threshold: int, pieces=PIECES) -> DataFrame:
+    """(g, fp): members of large anchors dealt to finer groups, so that a row's comparisons don't grow with the table.
+
+    The bits outside the anchor's piece are cut into threshold + 2 parts, of which links leave two alike at least. A member goes to a group for
+    each two parts, with those that have the same bits there.
+    """
+    rows, low = None, 0
+    for k, (bits, *_) in enumerate(pieces):
+        rest = [b for b in range(64) if not low <= b < low + bits]
+        cuts = [sum(1 << b for b in rest[x :: threshold + 2]) for x in range(threshold + 2)]
+        masks = [int(np.array(x | y, np.uint64).view(np.int64)) for x, y in combinations(cuts, 2)]
+        keys = F.array(*[F.xxhash64("anchor", F.lit(m), F.col("fp").bitwiseAND(F.lit(m))) for m in masks])
+        rows = keys if rows is None else F.when(F.shiftright("anchor", 56) == k, keys).otherwise(rows)
+        low += bits
+    return members.select(F.explode(rows).alias("g"), "fp")
 
 
 def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +16,17 @@ from pyspark.sql import functions as F
 QUERIES = 8192
 #: Candidates whose cells are scanned at once, cells per dimension, and exact vectors read at once.
 BLOCK, CELLS, READ = 4096, 16, 64
-#: Components past this have products that 64 bits can't sum; such vectors take no part.
-LARGEST = 1 << 27
+#: Scores past the ends of a long count as these.
+LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
+
+
+def largest(d: int) -> int:
+    """Vectors of d components, all below this, have products whose sums fit a long."""
+    return 1 << (62 - max(1, int(d) - 1).bit_length()) // 2
 
 
 def whole_components(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By dimension: ids and floor(scale * component) of the vectors that are whole and finite."""
+    """By dimension: ids and floor(scale * component) of the vectors that are whole and finite; those with a component past largest() apart, as Python's integers."""
     ids, v = batch.column(0), batch.column(1)
     lengths = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     values = v.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
@@ -28,17 +35,28 @@ def whole_components(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.nda
     numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
     for d in np.unique(lengths[lengths > 0]):
         rows = np.flatnonzero((lengths == d) & known)
-        x = values[starts[rows][:, None] + np.arange(d)]
-        x = np.floor(scale * x)
-        good = (np.abs(x) < LARGEST).all(1)  # false for nan too
-        yield numbers[rows[good]], x[good].astype(np.int64)
+        raw = values[starts[rows][:, None] + np.arange(d)]
+        finite = np.isfinite(raw).all(1)
+        rows, raw = rows[finite], raw[finite]
+        with np.errstate(over="ignore"):
+            x = np.floor(scale * raw)
+        usual = (np.abs(x) < largest(d)).all(1)
+        yield numbers[rows[usual]], x[usual].astype(np.int64)
+        if not usual.all():
+            yield numbers[rows[~usual]], np.array([[math.floor(scale * Fraction(c)) for c in row] for row in raw[~usual].tolist()], object)
+
+
+def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a query, exactly; past a long they are its ends."""
+    if x.dtype != object and q.dtype != object:
+        return x @ q
+    return np.array([min(max(sum(a * b for a, b in zip(row, q.tolist(), strict=True)), LEAST), MOST) for row in x.tolist()], np.int64)
 
 
 class Approximation:
     """The cells of a block of vectors, and bounds of inner products from them."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
         low, high = x.min(0).astype(float), x.max(0).astype(float)
         width = np.maximum(1.0, np.ceil((high - low + 1) / CELLS))
         self.cell = ((x - low) // width).astype(np.uint8)
@@ -64,8 +82,10 @@ def _better(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np
 
 def search_block(best: list, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:
     """Better each query's (ids, scores) in best by a block of candidates."""
-    va = Approximation(x)
-    least, most = va.bounds(q)
+    if x.dtype == object or q.dtype == object:  # rare; every vector is read
+        most = np.full((len(q), len(x)), np.inf)
+    else:
+        _, most = Approximation(x).bounds(q)
     for i in range(len(qid)):
         b_ids, b_scores = best[i]
         others = np.flatnonzero(ids != qid[i])
@@ -78,20 +98,20 @@ def search_block(best: list, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x:
             if len(b_scores) == k and most[i, near[at]] < b_scores[-1]:
                 break
             part = near[at : at + READ]
-            b_ids, b_scores = _better(np.append(b_ids, ids[part]), np.append(b_scores, x[part] @ q[i]), k)
+            b_ids, b_scores = _better(np.append(b_ids, ids[part]), np.append(b_scores, products(x[part], q[i])), k)
         best[i] = b_ids, b_scores
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query row of vectors (vec_id, embedding) its k best other rows.
 
-    score is the inner product of floor(scale * component). Vectors that are null, empty or hold a null or non-finite component
-    (or one past LARGEST) take no part, nor do rows without an id; only vectors of one length are compared. Ties go to the smaller vec_id. Repeated rows count
-    once. Every task scans its candidates' cells for all queries and keeps k for each; the tasks' results are ranked by query.
+    score is the inner product of floor(scale * component), in whole numbers; past the ends of a long (LEAST, MOST) it counts as these. Vectors that are
+    null, empty or hold a null or non-finite component take no part, nor do rows without an id; only vectors of one length are compared. Ties go to the
+    smaller vec_id. Repeated rows count once. Extra columns are ignored; no rows give no rows. Every task scans its candidates' cells for all queries and keeps k for each; the tasks' results are ranked by query.
     """
     spark = vectors.sparkSession
     v = vectors.select("vec_id", "embedding")
-    asked: dict[int, tuple[list, list]] = {}
+    asked: dict[tuple[int, bool], tuple[list, list]] = {}
     passes, held = [], 0
 
     def search(queries):
@@ -102,8 +122,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
             for whole in batches:
                 for at in range(0, whole.num_rows, BLOCK):
                     for ids, x in whole_components(whole.slice(at, BLOCK), scale):
-                        if len(ids) and (d := x.shape[1]) in best:
-                            search_block(best[d], *sent.value[d], ids, x, k)
+                        for d in best:
+                            if len(ids) and x.shape[1] == d[0]:
+                                search_block(best[d], *sent.value[d], ids, x, k)
             for d, (qid, _) in sent.value.items():
                 if n := [len(i) for i, _ in best[d]]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), *(pa.array(np.concatenate([b[z] for b in best[d]])) for z in (0, 1))], ["query_id", "vec_id", "score"])
@@ -113,13 +134,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for ids, x in whole_components(b, scale):
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(list(x), pa.list_(pa.int64()))], ["vec_id", "x"])
+                rows = [[str(c) for c in row] for row in x.tolist()] if x.dtype == object else [None] * len(ids)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None] * len(ids) if x.dtype == object else list(x), pa.list_(pa.int64())), pa.array(rows, pa.list_(pa.string()))], ["vec_id", "x", "large"])
 
     # a bounded number of queries at a time; the rest stays on the executors until its turn
-    for row in v.where(is_query).mapInArrow(read, "vec_id long, x array<long>").dropDuplicates().toLocalIterator():
-        i, x = asked.setdefault(len(row.x), ([], []))
+    for row in v.where(is_query).mapInArrow(read, "vec_id long, x array<long>, large array<string>").dropDuplicates().toLocalIterator():
+        values = np.array([row.x]) if row.large is None else np.array([[int(c) for c in row.large]], object)
+        i, x = asked.setdefault((values.shape[1], row.large is not None), ([], []))
         i.append(np.array([row.vec_id]))
-        x.append(np.array([row.x]))
+        x.append(values)
         held += 1
         if held == QUERIES:
             passes.append(search(asked))

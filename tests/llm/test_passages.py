@@ -55,7 +55,12 @@ def slow_bytes(texts_, window):
             if seen[b[i : i + window]] > 1:
                 gone[i : i + window] = [True] * window
         kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        whole, at = "", 0
+        for c in b.decode():
+            n = len(c.encode())
+            whole += "" if any(gone[at : at + n]) else c
+            at += n
+        out.append((len(b), sum(gone), sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone)), hashlib.sha256(kept).hexdigest(), whole))
     return out
 
 

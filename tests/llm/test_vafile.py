@@ -40,3 +40,20 @@ def test_few_and_none(spark):
     assert vafile.top_k(vectors(spark, []), F.lit(True)).collect() == []
     got = vafile.top_k(vectors(spark, [(0, [1.0], 0), (1, [-2.0], 0)]), F.col("vec_id") == 0).collect()
     assert [tuple(x) for x in got] == [(0, 1, 1, -2048 * 1024)]
+
+
+def test_large_components_take_part(spark):
+    big = float(np.float32(3e38))
+    rows = [(0, [1.0, 2.0]), (1, [200000.0, 1.0]), (2, [-200000.0, 1.0]), (3, [1.5, 2.5]), (4, [big, -big]), (5, [-big, big]), (10, [150000.0, -3.0]), (6, [0.5] * 2), (7, [1.0, float("inf")])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int").repartition(3)
+    ints = {i: [int(np.floor(1024 * x)) if abs(x) < 1e30 else int(x) * 1024 for x in e] for i, e in rows if i != 7}
+    want = []
+    for q in (0, 10):
+        score = lambda i: min(max(sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), vafile.LEAST), vafile.MOST)  # noqa: B023, E731
+        want += [(q, r + 1, i, score(i)) for r, i in enumerate(sorted((i for i in ints if i != q), key=lambda i: (-score(i), i))[:10])]
+    assert sorted(map(tuple, vafile.top_k(df, F.col("vec_id") % 10 == 0).collect())) == want
+
+
+def test_many_dimensions_do_not_overflow():
+    for d in (1, 2, 3, 512, 513, 4096, 1 << 20):
+        assert d * (vafile.largest(d) - 1) ** 2 < 1 << 63
