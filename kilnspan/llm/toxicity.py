@@ -12,13 +12,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import cut, row_key, small_batches
+
 #: Buckets of n-gram vectors and their size; n-gram lengths; words averaged in a window.
 BUCKETS, SIZE, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 3
-#: Most labelled documents of each class that are taken for training, those of smallest hash.
-SAMPLE = 2000
+#: Most labelled documents of each class that are taken for training, those of smallest hash, and bytes of text after which no more are taken.
+SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 EPOCHS, RATE = 40, 0.05
 #: Words whose scores a task remembers.
 REMEMBERED = 500_000
@@ -79,22 +83,36 @@ def split(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 3) -> Model:
+@dataclass
+class Sample:
+    """Labelled documents as numbers: their words by place in a vocabulary, and the vocabulary's n-grams; documents without words are left out."""
+
+    words: np.ndarray
+    sizes: np.ndarray
+    y: np.ndarray
+    grams: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, docs: list[tuple[int, np.ndarray]], hashes: np.ndarray, grams: list[np.ndarray]) -> Sample:
+        """docs: label and word hashes of each document; hashes, ascending, and n-grams of the distinct words."""
+        docs = [(y, w) for y, w in docs if len(w)]
+        sizes = np.array([len(g) for g in grams], np.int64)
+        words = np.searchsorted(hashes, np.concatenate([w for _, w in docs])) if docs else np.zeros(0, np.int64)
+        return cls(words, np.array([len(w) for _, w in docs], np.int64), np.array([y for y, _ in docs]), np.concatenate(grams) if len(grams) else np.zeros(0, np.int64), np.cumsum(sizes) - sizes)
+
+
+def train(sample: Sample, epochs: int = EPOCHS, seed: int = 3) -> Model:
     """Joint training by Adam: a few rounds on whole documents' averages, then on each document's worst window."""
     r = np.random.default_rng(seed)
     vectors = r.normal(0, 0.1, (BUCKETS, SIZE)).astype(np.float32)
     soft, bias = r.normal(0, 0.1, (SIZE, 2)).astype(np.float32), np.zeros(2, np.float32)
-    kept = [(w, y) for t, y in zip(texts, labels, strict=True) if (w := split(t))]
-    if len({y for _, y in kept}) < 2:
-        share = (sum(labels) + 0.5) / (len(labels) + 1)
+    y, words, sizes, grams, at = sample.y, sample.words, sample.sizes, sample.grams, sample.at
+    if len(set(y.tolist())) < 2:
+        share = (y.sum() + 0.5) / (len(y) + 1)
         return Model(np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
-    y = np.array([y for _, y in kept])
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean()) / len(y)
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws, _ in kept for w in ws))}
-    words = np.fromiter((vocabulary[w] for ws, _ in kept for w in ws), np.int64)
-    sizes = np.array([len(ws) for ws, _ in kept])
     starts = np.cumsum(sizes) - sizes
-    grams, at = subwords(list(vocabulary))
     n = np.diff(np.append(at, len(grams)))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (vectors, soft, bias)]
     for epoch in range(1, epochs + 1):
@@ -110,7 +128,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         error = (p - y) * weight
         # each document's error, spread over its window's words, then over their n-grams
         inside = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        per_word = np.bincount(words[inside], np.repeat(error / length, length), len(vocabulary))
+        per_word = np.bincount(words[inside], np.repeat(error / length, length), len(at))
         used = np.flatnonzero(per_word)
         spread = np.repeat(n[used], n[used])
         flat = grams[np.repeat(at[used] - (np.cumsum(n[used]) - n[used]), n[used]) + np.arange(n[used].sum())]
@@ -149,18 +167,55 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Train on at most `sample` labelled documents of each class that are not held out, those of smallest hash. doc_ids choose rows and are no input."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, volume: int = SAMPLE_BYTES) -> DataFrame:
+    """(r, y): the rows to train on, by their keys: of each class the whole documents of smallest hash, at most `sample` of them and none after `volume` bytes.
+
+    The held-out third is left out; a document is toxic if any of its labels says so; a repeated row counts once. doc_ids choose rows and are no input.
+    """
     known = labels.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("y")).where("y in (0, 1) and doc_id is not null")
-    texts = docs.where("text is not null and doc_id is not null").select(F.col("doc_id"), "text").join(known, "doc_id", "left_semi").select("doc_id").distinct()
-    known = known.join(texts, "doc_id", "left_semi")
+    rows = docs.where("text is not null and doc_id is not null").select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("r"), F.octet_length("text").alias("size"))
+    rows = rows.join(known, "doc_id").dropDuplicates(["r"]).withColumn("h", F.xxhash64("doc_id"))
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+        part = rows.where(F.col("y") == y).orderBy("h", "doc_id", "r").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
-    # at most 2 * sample rows of two numbers
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(2 * sample).collect()
-    return train([x.text or "" for x in rows], [int(x.y) for x in rows])
+    before = F.sum("size").over(W.partitionBy("y").orderBy("h", "doc_id", "r").rowsBetween(W.unboundedPreceding, -1))
+    return chosen.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < volume).select("r", "y")
+
+
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row with label and word hashes for each document, and one with hash and n-grams for each distinct word of a batch."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):
+            b = whole.slice(at, 256)
+            docs = [split(t) for t in b.column(1).to_pylist()]
+            words = list({w for d in docs for w in d})
+            code = dict(zip(words, (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), strict=True))
+            w = [np.fromiter((code[x] for x in d), np.uint64, len(d)).tobytes() for d in docs]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary())], ["y", "w", "h", "g"])
+            if words:
+                grams, starts = subwords(words)
+                g = [x.astype(np.int32).tobytes() for x in np.split(grams, starts[1:])]
+                h = np.fromiter(code.values(), np.uint64, len(code)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary()), pa.array(h), pa.array(g, pa.binary())], ["y", "w", "h", "g"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, volume: int = SAMPLE_BYTES) -> Model:
+    """Train on labelled_sample(). Executors turn its texts into numbers; the driver receives these, of at most 2 * volume bytes of text and two documents more."""
+    small_batches(docs.sparkSession)
+    chosen = labelled_sample(docs, labels, sample, volume)
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").join(F.broadcast(chosen), "r").dropDuplicates(["r"])
+    made = cut(texts.select("y", "text").mapInArrow(_numbers, "y int, w binary, h long, g binary"), "sample")
+    found = made.where("w is not null").orderBy("y", "w").select("y", "w").toArrow()
+    rows = [(y, np.frombuffer(w, np.uint64)) for y, w in zip(found.column("y").to_pylist(), found.column("w").to_pylist(), strict=True)]
+    del found
+    words = made.where("h is not null").dropDuplicates(["h"]).select("h", "g").toArrow()
+    h = words.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    g = words.column("g").to_pylist()
+    numbers = Sample.of(rows, h[order], [np.frombuffer(g[i], np.int32) for i in order])
+    del words, g, rows
+    return train(numbers)
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,9 +230,14 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 p = scorer(b.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
+    small_batches(docs.sparkSession)
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """Fit on the labels outside the held-out third and score every document. Without labels of both classes all scores are the labels' share."""
+    """Fit on the labels outside the held-out third and score every document. Without labels of both classes all scores are the labels' share.
+
+    Null, empty and blank texts score as the bias alone does, at most a half. Repeated rows are scored as often as they occur; a null doc_id is not held out.
+    Columns but doc_id and text are not read. No rows give no rows.
+    """
     return score_documents(docs, fit(docs, labels, sample))
