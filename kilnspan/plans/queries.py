@@ -354,7 +354,7 @@ SELECT v.vin, coalesce(events, 0) AS events, coalesce(soc_lost, 0) AS soc_lost,
         _EV + f""", h AS (SELECT DISTINCT vin, hour({LOCAL('t')}) AS h FROM ev), v AS (SELECT DISTINCT vin FROM h), nx AS (SELECT v.vin, i AS a, coalesce((SELECT min(j) FROM range(i, 48) r(j) WHERE EXISTS (SELECT 1 FROM h WHERE h.vin = v.vin AND h.h = j % 24)), 48) AS b FROM v CROSS JOIN (SELECT unnest(range(24)) AS i)),
 m AS (SELECT vin, a, least(24, b - a) AS n FROM nx WHERE b > a), o AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY n DESC, a) AS r FROM m);; SELECT vin, a AS from_h, (a + n) % 24 AS to_h, n AS hours FROM o WHERE r = 1""",
     ),
-    "tyre_daily_median": Query("vin:l day:s fl:d fr:d temp:d", _tyres, _TYRES + ";; SELECT * FROM days"),
+    "tyre_daily_median": Query("vin:l day:s fl:d fr:d temp:d", lambda s, d: _tyres(tel(s, d)), _TYRES + ";; SELECT * FROM days"),
     "tyre_drift": Query("vin:l fl_drift:d fr_drift:d", lambda s, d: body.tyre_drift(_tyres(tel(s, d)), ["fl", "fr"]), _TYRES + ", o AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY day) AS a, row_number() OVER (PARTITION BY vin ORDER BY day DESC) AS z FROM days WHERE coalesce(fl, fr) IS NOT NULL);; SELECT x.vin, y.fl - x.fl AS fl_drift, y.fr - x.fr AS fr_drift FROM o x JOIN o y ON x.vin = y.vin AND x.a = 1 AND y.z = 1"),
     "tyre_correlation": Query("vin:l r:d", lambda s, d: body.tyre_weather(_tyres(tel(s, d)), ["fl", "fr"], "temp"), _TYRES + ", m AS (SELECT vin, CASE WHEN fl IS NULL THEN fr WHEN fr IS NULL THEN fl ELSE greatest(fl, fr) END AS y, temp AS x FROM days);; SELECT vin, CASE WHEN count(*) FILTER (x IS NOT NULL AND y IS NOT NULL) >= 3 AND stddev_pop(x) * stddev_pop(y) > 0 THEN corr(y, x) END AS r FROM m GROUP BY vin"),
     "pyramid_level_64": Query("vin:l bucket:l t:l low:d high:d", lambda s, d: decimate.pyramid_level(tel(s, d), "speed", 64), _TEL + ", i AS (SELECT *, row_number() OVER (PARTITION BY vin ORDER BY t) - 1 AS n FROM tel);; SELECT vin, n // 64 AS bucket, min(t) AS t, min(speed) AS low, max(speed) AS high FROM i GROUP BY vin, n // 64"),
