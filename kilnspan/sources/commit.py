@@ -46,11 +46,15 @@ def publish(spark: SparkSession, path: str, line: str) -> bool:
 
 
 def read_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file that is not blank, read by the driver; empty if there is none."""
     at, fs = _file_system(spark, path)
     io = spark.sparkContext._jvm.java.io
-    reader = io.BufferedReader(io.InputStreamReader(fs.open(at)))
+    reader = io.BufferedReader(io.InputStreamReader(fs.open(at), "UTF-8"))
     try:
-        return reader.readLine()
+        while (line := reader.readLine()) is not None:
+            if line.strip():
+                return line
+        return ""
     finally:
         reader.close()
 
