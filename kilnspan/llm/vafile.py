@@ -1,4 +1,8 @@
-"""Exact top-k by inner product with vector-approximation files."""
+"""Exact top-k by inner product with vector-approximation files.
+
+Each vector's cells, a byte a component, are a table of their own. A scan of it bounds every query's product with every
+vector; the exact vectors are read only for the pairs whose upper bound reaches the query's k-th highest lower bound.
+"""
 
 from __future__ import annotations
 
@@ -12,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries sent to every task at once; more are taken in further passes over the candidates.
+from .common import cut, lean
+
+#: Queries sent to every task at once; more are taken in further scans of the cells.
 QUERIES = 8192
-#: Candidates whose cells are scanned at once, cells per dimension, and exact vectors read at once.
-BLOCK, CELLS, READ = 4096, 16, 64
+#: Cells a component; candidates and queries whose bounds are held at once.
+CELLS, BLOCK, TILE = 256, 4096, 256
 #: Scores past the ends of a long count as these.
 LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
 
@@ -25,14 +31,12 @@ def largest(d: int) -> int:
     return 1 << (62 - max(1, int(d) - 1).bit_length()) // 2
 
 
-def whole_components(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """By dimension: ids and floor(scale * component) of the vectors that are whole and finite; those with a component past largest() apart, as Python's integers."""
-    ids, v = batch.column(0), batch.column(1)
+def whole_components(ids: pa.Array, v: pa.Array, scale: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By dimension: row numbers and floor(scale * component) of the vectors that are whole and finite; those with a component past largest() apart, as Python's integers."""
     lengths = v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
     values = v.flatten().cast(pa.float64()).fill_null(float("nan")).to_numpy(zero_copy_only=False)
     starts = np.cumsum(lengths) - lengths
     known = ids.is_valid().to_numpy(zero_copy_only=False)
-    numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
     for d in np.unique(lengths[lengths > 0]):
         rows = np.flatnonzero((lengths == d) & known)
         raw = values[starts[rows][:, None] + np.arange(d)]
@@ -41,65 +45,104 @@ def whole_components(batch: pa.RecordBatch, scale: int) -> Iterator[tuple[np.nda
         with np.errstate(over="ignore"):
             x = np.floor(scale * raw)
         usual = (np.abs(x) < largest(d)).all(1)
-        yield numbers[rows[usual]], x[usual].astype(np.int64)
+        if usual.any():
+            yield rows[usual], x[usual].astype(np.int64)
         if not usual.all():
-            yield numbers[rows[~usual]], np.array([[math.floor(scale * Fraction(c)) for c in row] for row in raw[~usual].tolist()], object)
+            yield rows[~usual], np.array([[math.floor(scale * Fraction(c)) for c in row] for row in raw[~usual].tolist()], object)
 
 
-def products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Inner products of rows with a query, exactly; past a long they are its ends."""
-    if x.dtype != object and q.dtype != object:
-        return x @ q
-    return np.array([min(max(sum(a * b for a, b in zip(row, q.tolist(), strict=True)), LEAST), MOST) for row in x.tolist()], np.int64)
+_EXACT = "vec_id long, asked boolean, d int, x array<long>, large array<string>"
 
 
-class Approximation:
-    """The cells of a block of vectors, and bounds of inner products from them."""
+def exact_vectors(vectors: DataFrame, is_query: Column, scale: int) -> DataFrame:
+    """(vec_id, asked, d, x, large): the vectors in whole numbers, as text where they are past largest(); a repeated row once."""
 
-    def __init__(self, x: np.ndarray):
-        low, high = x.min(0).astype(float), x.max(0).astype(float)
-        width = np.maximum(1.0, np.ceil((high - low + 1) / CELLS))
-        self.cell = ((x - low) // width).astype(np.uint8)
-        self.radius = width / 2
-        self.centre = low + (self.cell + 0.5) * width
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(at, BLOCK)
+                for rows, x in whole_components(b.column(0), b.column(1), scale):
+                    n, text = len(rows), x.dtype == object
+                    longs = pa.nulls(n, pa.list_(pa.int64())) if text else pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+                    texts = pa.array([[str(c) for c in row] for row in x.tolist()], pa.list_(pa.string())) if text else pa.nulls(n, pa.list_(pa.string()))
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)).cast(pa.int64()), b.column(2).take(pa.array(rows)), pa.array(np.full(n, x.shape[1], np.int32)), longs, texts], ["vec_id", "asked", "d", "x", "large"])
 
-    def bounds(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and most inner product of each query with each vector, with room for rounding."""
-        mid = q.astype(float) @ self.centre.T
-        off = (np.abs(q) @ self.radius)[:, None]
-        off = off + 1 + 1e-12 * (np.abs(q).astype(float) @ np.abs(self.centre).T)
-        return mid - off, mid + off
+    made = vectors.select("vec_id", "embedding", F.coalesce(is_query, F.lit(False)).alias("asked")).mapInArrow(lean(run), _EXACT)
+    twice = cut(vectors.where("vec_id is not null").groupBy("vec_id").count().where("count > 1").select("vec_id"), "twice")
+    if not twice.limit(1).count():
+        return made
+    return made.join(twice, "vec_id", "left_anti").unionByName(made.join(twice, "vec_id", "left_semi").distinct())
 
 
-def _better(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best distinct pairs, ties to the smaller id."""
-    order = np.lexsort((ids, -scores))
-    ids, scores = ids[order], scores[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (np.diff(ids) != 0) | (np.diff(scores) != 0)
-    return ids[new][:k], scores[new][:k]
+def _matrix(b: pa.RecordBatch, name: str = "x") -> np.ndarray:
+    """The rows' vectors, all of one length, as floats, which bounds allow for."""
+    x = b.column(b.schema.get_field_index(name))
+    if x.null_count:
+        return np.array([[float(int(c)) if abs(int(c)) < 1 << 1000 else math.copysign(math.inf, int(c)) for c in row] for row in b.column(b.schema.get_field_index("large")).to_pylist()])
+    return x.flatten().to_numpy().astype(float).reshape(len(x), -1)
 
 
-def search_block(best: list, qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> None:
-    """Better each query's (ids, scores) in best by a block of candidates."""
-    if x.dtype == object or q.dtype == object:  # rare; every vector is read
-        most = np.full((len(q), len(x)), np.inf)
-    else:
-        _, most = Approximation(x).bounds(q)
-    for i in range(len(qid)):
-        b_ids, b_scores = best[i]
-        others = np.flatnonzero(ids != qid[i])
-        if not len(others):
-            continue
-        bar = b_scores[-1] if len(b_scores) == k else -np.inf
-        near = others[most[i, others] >= bar]
-        near = near[np.argsort(-most[i, near], kind="stable")]
-        for at in range(0, len(near), READ):
-            if len(b_scores) == k and most[i, near[at]] < b_scores[-1]:
-                break
-            part = near[at : at + READ]
-            b_ids, b_scores = _better(np.append(b_ids, ids[part]), np.append(b_scores, products(x[part], q[i])), k)
-        best[i] = b_ids, b_scores
+def _alike(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch's rows by length and by how they are written."""
+    kind = b.column(b.schema.get_field_index("d")).to_numpy() * 2 + b.column(b.schema.get_field_index("x")).is_null().to_numpy(zero_copy_only=False)
+    for k in np.unique(kind):
+        yield b.take(pa.array(np.flatnonzero(kind == k)))
+
+
+class Grid:
+    """Cells of equal width between the least and the most of each component."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray):
+        with np.errstate(over="ignore"):
+            width = (high - low) / CELLS
+        self.fits = np.isfinite(width).all()
+        self.low, self.width = low, np.where(width > 0, width, 1.0)
+        # a component may lie past its cell's edge by what rounding moves it
+        self.radius = self.width / 2 + 1e-9 * np.maximum(np.abs(low), np.abs(high)) + 1e-6
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.low) / self.width, 0, CELLS - 1).astype(np.uint8) if self.fits else np.zeros(x.shape, np.uint8)
+
+    def bounds(self, q: np.ndarray, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and most inner product of each query with each row of cells, with room for rounding."""
+        if not self.fits:
+            inf = np.full((len(q), len(cells)), np.inf)
+            return -inf, inf
+        centre = self.low + (cells + 0.5) * self.width
+        with np.errstate(over="ignore", invalid="ignore"):
+            mid = q @ centre.T
+            off = (np.abs(q) @ self.radius)[:, None] + 1e-12 * (np.abs(q) @ np.abs(centre).T) + 1
+            return np.nan_to_num(mid - off, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(mid + off, nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+
+class Search:
+    """The pairs of some queries that a task's candidates leave open, as blocks of cells come in."""
+
+    def __init__(self, grid: Grid, ids: np.ndarray, q: np.ndarray, k: int):
+        self.grid, self.ids, self.q, self.k = grid, ids, q, k
+        self.top = np.full((len(ids), k), -np.inf)  # the k highest lower bounds so far, the k-th first
+        self.open: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
+        for at in range(0, len(self.ids), TILE):
+            tile = slice(at, at + TILE)
+            least, most = self.grid.bounds(self.q[tile], cells)
+            own = self.ids[tile, None] == ids
+            least[own] = most[own] = -np.inf
+            both = np.concatenate([self.top[tile], least], 1)
+            self.top[tile] = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
+            i, j = np.nonzero((most >= self.top[tile].min(1)[:, None]) & ~own)
+            self.open.append((i + at, ids[j], least[i, j], most[i, j]))
+
+    def pairs(self) -> tuple[np.ndarray, ...]:
+        i, ids, least, most = (np.concatenate(x) for x in zip(*self.open, strict=True))
+        near = most >= self.top.min(1)[i]
+        return self.ids[i[near]], ids[near], least[near], most[near]
+
+
+def products(x: list[int], q: list[int]) -> int:
+    """The inner product of whole numbers of any size; past a long it is its end."""
+    return min(max(sum(a * b for a, b in zip(x, q, strict=True)), LEAST), MOST)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024) -> DataFrame:
@@ -107,51 +150,93 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
 
     score is the inner product of floor(scale * component), in whole numbers; past the ends of a long (LEAST, MOST) it counts as these. Vectors that are
     null, empty or hold a null or non-finite component take no part, nor do rows without an id; only vectors of one length are compared. Ties go to the
-    smaller vec_id. Repeated rows count once. Extra columns are ignored; no rows give no rows. Every task scans its candidates' cells for all queries and keeps k for each; the tasks' results are ranked by query.
+    smaller vec_id. Repeated rows count once. Extra columns are ignored; no rows give no rows.
+
+    Every task scans its cells for all queries of a round and names the pairs that its own bounds leave open; of these the query's k-th
+    highest lower bound over all tasks leaves those that are multiplied in full. The driver holds a round's queries and the cells' edges: two numbers a component.
     """
     spark = vectors.sparkSession
-    v = vectors.select("vec_id", "embedding")
-    asked: dict[tuple[int, bool], tuple[list, list]] = {}
-    passes, held = [], 0
-
-    def search(queries):
-        sent = spark.sparkContext.broadcast({d: (np.concatenate(i), np.concatenate(x)) for d, (i, x) in queries.items()})
+    exact = exact_vectors(vectors, is_query, scale)
+
+    def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for whole in batches:
+            for b in _alike(whole):
+                x = _matrix(b)
+                low, high = found.get(x.shape[1], (np.inf, -np.inf))
+                found[x.shape[1]] = np.minimum(low, x.min(0)), np.maximum(high, x.max(0))
+        for d, (low, high) in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(low), pa.array(high)], ["d", "at", "low", "high"])
+
+    # pairs of one query's and one candidate's id may all be one result, so as many times more are kept as ids have rows
+    times = max(1, exact.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
+    keep = k * times * times
+    ends = exact.mapInArrow(lean(extremes), "d int, at int, low double, high double").groupBy("d", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d", "at").toPandas()
+    grids = {int(d): Grid(e["low"].to_numpy(), e["high"].to_numpy()) for d, e in ends.groupby("d")}
+    past = any(max(abs(e["low"].min()), abs(e["high"].max())) >= largest(d) for d, e in ends.groupby("d"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _alike(whole):
+                x = _matrix(b)
+                cells = grids[x.shape[1]].cells(x)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.tobytes() for c in cells], pa.binary())], ["vec_id", "d", "cells"])
+
+    cells = cut(exact.mapInArrow(lean(place), "vec_id long, d int, cells binary"), "cells")
+    queries = cut(exact.where("asked").select(F.col("vec_id").alias("query_id"), "d", F.col("x").alias("qx"), F.col("large").alias("qlarge")), "queries")
+
+    def scan(asked: dict[int, tuple[list[int], list[list[float]]]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast({d: (np.array(i), np.array(q)) for d, (i, q) in asked.items()})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best = {d: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(i) for d, (i, _) in sent.value.items()}
+            searches = {d: Search(grids[d], *q, keep) for d, q in sent.value.items()}
             for whole in batches:
                 for at in range(0, whole.num_rows, BLOCK):
-                    for ids, x in whole_components(whole.slice(at, BLOCK), scale):
-                        for d in best:
-                            if len(ids) and x.shape[1] == d[0]:
-                                search_block(best[d], *sent.value[d], ids, x, k)
-            for d, (qid, _) in sent.value.items():
-                if n := [len(i) for i, _ in best[d]]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n)), *(pa.array(np.concatenate([b[z] for b in best[d]])) for z in (0, 1))], ["query_id", "vec_id", "score"])
-
-        return v.mapInArrow(run, "query_id long, vec_id long, score long")
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for ids, x in whole_components(b, scale):
-                rows = [[str(c) for c in row] for row in x.tolist()] if x.dtype == object else [None] * len(ids)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([None] * len(ids) if x.dtype == object else list(x), pa.list_(pa.int64())), pa.array(rows, pa.list_(pa.string()))], ["vec_id", "x", "large"])
-
-    # a bounded number of queries at a time; the rest stays on the executors until its turn
-    for row in v.where(is_query).mapInArrow(read, "vec_id long, x array<long>, large array<string>").dropDuplicates().toLocalIterator():
-        values = np.array([row.x]) if row.large is None else np.array([[int(c) for c in row.large]], object)
-        i, x = asked.setdefault((values.shape[1], row.large is not None), ([], []))
-        i.append(np.array([row.vec_id]))
-        x.append(values)
+                    b = whole.slice(at, BLOCK)
+                    ids, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+                    for n in np.unique(d):
+                        if n in searches:
+                            mine = np.flatnonzero(d == n)
+                            rows = b.column(2).take(pa.array(mine)).to_pylist()
+                            searches[n].add(ids[mine], np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), n))
+            for s in searches.values():
+                if s.open:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in s.pairs()], ["query_id", "vec_id", "least", "most"])
+
+        return cells.mapInArrow(lean(run), "query_id long, vec_id long, least double, most double")
+
+    # a bounded number of queries at a time; the rest stays in its table until its turn
+    rounds, asked, held = [], {}, 0
+    for row in queries.toLocalIterator():
+        i, q = asked.setdefault(row.d, ([], []))
+        i.append(row.query_id)
+        q.append([float(c) for c in row.qx] if row.qlarge is None else [float(int(c)) if abs(int(c)) < 1 << 1000 else math.copysign(math.inf, int(c)) for c in row.qlarge])
         held += 1
         if held == QUERIES:
-            passes.append(search(asked))
+            rounds.append(scan(asked))
             asked, held = {}, 0
-    if held or not passes:
-        passes.append(search(asked))
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
+    if held or not rounds:
+        rounds.append(scan(asked))
+    open_ = rounds[0]
+    for more in rounds[1:]:
+        open_ = open_.unionByName(more)
+    open_ = cut(open_, "open")
+    best = W.partitionBy("query_id").orderBy(F.desc("least"))
+    bar = open_.select("query_id", "least", F.row_number().over(best).alias("n")).where(F.col("n") <= keep).groupBy("query_id").agg(F.when(F.count("*") == keep, F.min("least")).otherwise(-float("inf")).alias("bar"))
+    pairs = open_.join(bar, "query_id").where("most >= bar").select("query_id", "vec_id").distinct()
+    full = pairs.join(queries, "query_id").join(exact.select("vec_id", "d", "x", "large"), ["vec_id", "d"])
+    score = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
+    if past:
+
+        def slow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                columns = [b.column(i).to_pylist() for i in range(2, 6)]
+                scores = [products([int(c) for c in x or large], [int(c) for c in q or qlarge]) for q, qlarge, x, large in zip(*columns, strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+
+        found = full.select("query_id", "vec_id", "qx", "qlarge", "x", "large").mapInArrow(lean(slow), "query_id long, vec_id long, score long")
+    else:
+        found = full.select("query_id", "vec_id", score.alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -57,3 +57,28 @@ def test_large_components_take_part(spark):
 def test_many_dimensions_do_not_overflow():
     for d in (1, 2, 3, 512, 513, 4096, 1 << 20):
         assert d * (vafile.largest(d) - 1) ** 2 < 1 << 63
+
+
+def test_one_id_with_many_vectors(spark):
+    r = np.random.default_rng(3)
+    rows = [(i % 7, [float(x) for x in r.normal(0, 1, 4).round(1)], 0) for i in range(60)]
+    ints = {(i, tuple(int(np.floor(1024 * float(np.float32(x)))) for x in e)) for i, e, _ in rows}
+    want = []
+    for q in {i for i, _ in ints if i % 5 == 0}:
+        found = {(-sum(a * b for a, b in zip(x, y, strict=True)), j) for i, x in ints if i == q for j, y in ints if j != q}
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(sorted(found)[:4])]
+    got = sorted(map(tuple, vafile.top_k(vectors(spark, rows + rows[:9]), F.col("vec_id") % 5 == 0, 4).collect()))
+    assert got == sorted(want)
+
+
+def test_bounds_hold_and_cells_leave_few_pairs_open():
+    r = np.random.default_rng(4)
+    x = np.floor(1024 * r.normal(0, 0.2, (5000, 64)))
+    grid = vafile.Grid(x.min(0), x.max(0))
+    least, most = grid.bounds(x[:50], grid.cells(x))
+    true = x[:50] @ x.T
+    assert (least <= true).all() and (true <= most).all()
+    s = vafile.Search(grid, np.arange(50), x[:50], 10)
+    for at in range(0, 5000, 1000):
+        s.add(np.arange(at, at + 1000), grid.cells(x[at : at + 1000]))
+    assert len(s.pairs()[0]) < 50 * 60
