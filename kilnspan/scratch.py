@@ -25,9 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: computed once, lineage ended, safe when executors are lost."""
+#: Rows of numbers that a file should have at least, where all cores have work, and at most.
+FEW_ROWS, MANY_ROWS = 20_000, 1_000_000
+
+
+def cut(df: DataFrame, name: str = "cut", rows: int | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: computed once, lineage ended, safe when executors are lost.
+
+    rows: about how many there are at most, of tables of a few numbers a row: a small table is then written by as few tasks as it needs, not as a small file by each partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        few, many = -(-rows // FEW_ROWS), -(-rows // MANY_ROWS)
+        df = df.coalesce(max(1, many, min(few, spark.sparkContext.defaultParallelism)))
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
