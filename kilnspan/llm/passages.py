@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, row_key, small_batches
+from .common import cut, lean, partitions, row_key, small_batches
 
 #: Contexts of one anchor that one task may gather.
 GROUP = 4096
@@ -166,7 +166,7 @@ def packed(docs: DataFrame, *columns: str) -> DataFrame:
                 z = pa.array([None if not t.is_valid else pack(t.as_buffer()) for t in b.column(1)], pa.binary())
                 yield pa.RecordBatch.from_arrays([b.column(0), z, *b.columns[2:]], [f.name for f in fields])
 
-    return docs.select(_key(docs).alias("r"), "text", *own).mapInArrow(run, T.StructType(fields))
+    return docs.select(_key(docs).alias("r"), "text", *own).mapInArrow(lean(run), T.StructType(fields))
 
 
 def _key(docs: DataFrame):
@@ -187,22 +187,23 @@ def _fetch(units: Units):
                     raw = memoryview(units.of(unpack(z))).cast("B")
                     for w in wanted:
                         i, j = w["s"] * units.size, (w["s"] + w["n"] + units.window - 1) * units.size
-                        rows.append((w["a"], w["c"], w["m"], w["k"], w["n"], w["p"], bytes(raw[i:j])))
+                        rows.append((w["a"], w["c"], w["m"], w["top"], w["k"], w["n"], w["p"], bytes(raw[i:j])))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _FETCHED, strict=True)], ["a", "c", "m", "k", "n", "p", "u"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _FETCHED, strict=True)], ["a", "c", "m", "top", "k", "n", "p", "u"])
 
     return run
 
 
-_FETCHED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_FETCHED = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 @dataclass
 class Context:
-    """One distinct context: key, smallest doc_id, occurrences, window starts, the anchor's place in it, and its units."""
+    """One distinct context: key, smallest and largest doc_id, occurrences, window starts, the anchor's place in it, and its units."""
 
     c: int
     m: int
+    top: int
     k: int
     n: int
     p: int
@@ -233,7 +234,9 @@ def _survivors(group: list[Context], units: Units) -> Iterator[tuple[Context, in
         yield held
 
 
-Resolver = Callable[[list[tuple[Context, int, int]], Units], Iterator[tuple[int, np.ndarray]]]
+#: Kinds of spans: of windows that make their words go, and of windows that other documents have too.
+GONE, SHARED = 0, 1
+Resolver = Callable[[list[tuple[Context, int, int]], Units], Iterator[tuple[int, int, np.ndarray]]]
 
 
 def _resolve(units: Units, resolver: Resolver):
@@ -243,8 +246,9 @@ def _resolve(units: Units, resolver: Resolver):
         anchor, volume = None, 0
 
         def spans() -> pa.RecordBatch:
-            rows = [(c, s) for c, starts in resolver(shard, units) for s in runs_of(starts, units.window).tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([s[0] for _, s in rows], pa.int32()), pa.array([s[1] for _, s in rows], pa.int32())], ["c", "i", "j"])
+            rows = [(c, kind, *s) for c, kind, starts in resolver(shard, units) for s in runs_of(starts, units.window).tolist()]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate(kinds)], ["c", "kind", "i", "j"])
 
         for b in batches:
             cols = [x.to_pylist() for x in b.columns]
@@ -279,45 +283,47 @@ def _windows(units: Units):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            for c, m, k, n, u in zip(*(b.column(x).to_pylist() for x in ("c", "m", "k", "n", "u")), strict=True):
+            for c, m, top, k, n, u in zip(*(b.column(x).to_pylist() for x in ("c", "m", "top", "k", "n", "u")), strict=True):
                 w = np.fromiter((digest(u[i : i + units.window * units.size]) for i in range(0, n * units.size, units.size)), np.uint64, n)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(n, c)), pa.array(np.full(n, m)), pa.array(np.full(n, k)), pa.array(np.arange(n, dtype=np.int32))], ["w", "c", "m", "k", "i"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(n, c)), pa.array(np.full(n, m)), pa.array(np.full(n, top)), pa.array(np.full(n, k)), pa.array(np.arange(n, dtype=np.int32))], ["w", "c", "m", "top", "k", "i"])
 
     return run
 
 
 def repeated_spans(docs: DataFrame, units: Units, resolver: Resolver, later_only: bool) -> DataFrame:
-    """(r, i, j): the units [i, j) of the row with key r that repeated windows cover; spans of a row may overlap.
+    """(r, kind, i, j): the units [i, j) of the row with key r that repeated windows cover; spans of a row may overlap.
 
-    later_only: a window counts if it also starts in a row with a smaller doc_id (null is the largest); else if it also starts anywhere else.
+    later_only: a window counts as GONE if it also starts in a row with a smaller doc_id (null is the largest), and the first row's are SHARED
+    if it starts in a row with a larger one; else a window is GONE if it also starts anywhere else.
     """
     spark = docs.sparkSession
     small_batches(spark)
     keyed = docs.select(_key(docs).alias("r"), F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "text").where(F.octet_length("text") >= units.window)
-    occ = cut(keyed.mapInArrow(_spot(units), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences")
-    contexts = occ.groupBy("c").agg(F.count("*").alias("k"), F.min("d").alias("m"), F.min("o").alias("o"), F.min("a").alias("a"))
+    occ = cut(keyed.mapInArrow(lean(_spot(units)), "a long, c long, r long, d long, s int, n int, p int").withColumn("o", F.monotonically_increasing_id()), "occurrences")
+    contexts = occ.groupBy("c").agg(F.count("*").alias("k"), F.min("d").alias("m"), F.max("d").alias("top"), F.min("o").alias("o"), F.min("a").alias("a"))
     shared = contexts.withColumn("g", F.count("*").over(W.partitionBy("a"))).where("g > 1 or k > 1")
-    found = cut(occ.drop("a").join(shared.select("c", "a", "k", "m", "g", F.col("o").alias("first")), "c"), "found")
-    whole = found.where("d > m" if later_only else "k > 1")
-    done = whole.select("r", F.col("s").alias("i"), (F.col("s") + F.col("n") + (units.window - 1)).alias("j"))
+    found = cut(occ.drop("a").join(shared.select("c", "a", "k", "m", "top", "g", F.col("o").alias("first")), "c"), "found", occ.count())
+    kind = F.when(F.col("d") > F.col("m"), GONE).when(F.col("top") > F.col("m"), SHARED) if later_only else F.when(F.col("k") > 1, GONE)
+    done = found.select("r", kind.alias("kind"), F.col("s").alias("i"), (F.col("s") + F.col("n") + (units.window - 1)).alias("j")).where("kind is not null")
     pending = found.where("g > 1").where("d = m" if later_only else "k = 1").select("c", "r", "s")
-    wanted = found.where("o = first and g > 1").groupBy("r").agg(F.collect_list(F.struct("a", "c", "m", "k", "n", "p", "s", "g")).alias("wanted"))
+    wanted = found.where("o = first and g > 1").groupBy("r").agg(F.collect_list(F.struct("a", "c", "m", "top", "k", "n", "p", "s", "g")).alias("wanted"))
     texts = packed(docs.where(F.octet_length("text") >= units.window))
-    fetched = texts.join(wanted, "r").select("z", "wanted").mapInArrow(_fetch(units), "a long, c long, m long, k long, n int, p int, u binary")
+    fetched = texts.join(wanted, "r").select("z", "wanted").mapInArrow(lean(_fetch(units)), "a long, c long, m long, top long, k long, n int, p int, u binary")
     large = found.where(f"o = first and g > {GROUP}").select("a").distinct()
     fetched = cut(fetched.dropDuplicates(["c"]), "contexts")
     usual = fetched.join(large, "a", "left_anti").repartition(partitions(spark), "a").sortWithinPartitions("a")
-    settled = usual.mapInArrow(_resolve(units, resolver), "c long, i int, j int")
-    windows = fetched.join(large, "a", "left_semi").mapInArrow(_windows(units), "w long, c long, m long, k long, i int")
-    counts = windows.groupBy("w").agg(F.count("*").alias("times"), F.min("m").alias("least"))
-    again = windows.join(counts, "w").where("m > least" if later_only else "times > 1").select("c", "i", (F.col("i") + units.window).alias("j"))
-    rest = settled.unionByName(again).join(pending, "c").select("r", (F.col("s") + F.col("i")).alias("i"), (F.col("s") + F.col("j")).alias("j"))
+    settled = usual.mapInArrow(lean(_resolve(units, resolver)), "c long, kind int, i int, j int")
+    windows = fetched.join(large, "a", "left_semi").mapInArrow(lean(_windows(units)), "w long, c long, m long, top long, k long, i int")
+    counts = windows.groupBy("w").agg(F.count("*").alias("times"), F.min("m").alias("least"), F.max("top").alias("most"))
+    kind = F.when(F.col("m") > F.col("least"), GONE).when(F.col("most") > F.col("least"), SHARED) if later_only else F.when(F.col("times") > 1, GONE)
+    again = windows.join(counts, "w").select("c", kind.alias("kind"), "i", (F.col("i") + units.window).alias("j")).where("kind is not null")
+    rest = settled.unionByName(again).join(pending, "c").select("r", "kind", (F.col("s") + F.col("i")).alias("i"), (F.col("s") + F.col("j")).alias("j"))
     return done.unionByName(rest)
 
 
 def cleaned(docs: DataFrame, spans: DataFrame, columns: list[str], apply: Callable, schema: str) -> DataFrame:
-    """apply(text or None, merged spans) -> values for schema, after the given columns of docs, for each row of docs. Columns may have any names but those of schema."""
-    per_row = spans.groupBy("r").agg(F.collect_list(F.struct("i", "j")).alias("spans"))
+    """apply(text or None, merged spans that go, merged spans of any kind) -> values for schema, after the given columns of docs, for each row of docs. Columns may have any names but those of schema."""
+    per_row = spans.groupBy("r").agg(F.collect_list(F.struct("kind", "i", "j")).alias("spans"))
     joined = packed(docs, *columns).join(per_row, "r", "left").select("z", "spans", "own")
     fields = [f.split() for f in schema.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string()}
@@ -327,17 +333,17 @@ def cleaned(docs: DataFrame, spans: DataFrame, columns: list[str], apply: Callab
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 b = whole.slice(at, 512)
-                made = [apply(None if z is None else unpack(z), merged(s)) for z, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+                made = [apply(None if z is None else unpack(z), merged(s, GONE), merged(s)) for z, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
                 new = [pa.array([m[x] for m in made], kinds[f[1]]) for x, f in enumerate(fields)]
                 yield pa.RecordBatch.from_arrays([b.column(2), *new], ["own", *(f[0] for f in fields)])
 
-    return joined.mapInArrow(run, out).select("own.*", *[f[0] for f in fields])
+    return joined.mapInArrow(lean(run), out).select("own.*", *[f[0] for f in fields])
 
 
-def merged(spans: list[dict] | None) -> list[list[int]]:
-    """Maximal runs; touching spans are one."""
+def merged(spans: list[dict] | None, kind: int | None = None) -> list[list[int]]:
+    """Maximal runs of one kind or of all; touching spans are one."""
     out: list[list[int]] = []
-    for x in sorted((s["i"], s["j"]) for s in spans or ()):
+    for x in sorted((s["i"], s["j"]) for s in spans or () if kind is None or s["kind"] == kind):
         if out and x[0] <= out[-1][1]:
             out[-1][1] = max(out[-1][1], x[1])
         else:

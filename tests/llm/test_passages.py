@@ -67,19 +67,22 @@ def slow_bytes(texts_, window):
 def slow_words(texts_, window, anywhere=False):
     """Of windows that also start in an earlier document or, if anywhere, at any other place."""
     ws = [(t or "").encode().split() for t in texts_]
-    first, times = {}, Counter()
+    first, last, times = {}, {}, Counter()
     for d, w in enumerate(ws):
         for i in range(len(w) - window + 1):
             first.setdefault(tuple(w[i : i + window]), d)
+            last[tuple(w[i : i + window])] = d
             times[tuple(w[i : i + window])] += 1
     out = []
     for d, w in enumerate(ws):
-        gone = [False] * len(w)
+        gone, shared = [False] * len(w), [False] * len(w)
         for i in range(len(w) - window + 1):
             if times[tuple(w[i : i + window])] > 1 if anywhere else first[tuple(w[i : i + window])] < d:
                 gone[i : i + window] = [True] * window
+            if first[tuple(w[i : i + window])] < last[tuple(w[i : i + window])]:
+                shared[i : i + window] = [True] * window
         kept = b" ".join(x for x, g in zip(w, gone, strict=True) if not g)
-        out.append((len(w), sum(gone), hashlib.sha256(kept).hexdigest(), kept.decode()))
+        out.append((len(w), sum(gone), hashlib.sha256(kept).hexdigest(), sum(shared), kept.decode()))
     return out
 
 
@@ -98,7 +101,7 @@ def test_words_equal_brute_force(spark, group, monkeypatch):
     r = random.Random(12)
     t = texts(r, lambda r: r.choice(["a", "b", "ç", "dd", "e,"]) + str(r.randrange(9)), " ".join)
     got = sorted(factors.removal_report(docs(spark, t, extra=group == 2), 20).collect())
-    assert [(*x[:4], " ".join(x.text.split())) for x in got] == [(i, *x) for i, x in enumerate(slow_words(t, 20))]
+    assert [(*x[:5], " ".join(x.text.split())) for x in got] == [(i, *x) for i, x in enumerate(slow_words(t, 20))]
     assert all(x.text == (t[x.doc_id] or "") for x in got if not x.n_removed)
 
 
@@ -108,7 +111,7 @@ def test_word_passages_equal_brute_force(spark, group, monkeypatch):
     r = random.Random(13)
     t = texts(r, lambda r: r.choice(["a", "b", "ç", "dd", "e,"]) + str(r.randrange(9)), " ".join)
     got = {x.doc_id: x.text for x in suffix_dedup.remove_passages(docs(spark, t, extra=group == 2), 20).collect()}
-    assert [" ".join((got[i] or "").split()) for i in range(len(t))] == [x[3] for x in slow_words(t, 20, anywhere=True)]
+    assert [" ".join((got[i] or "").split()) for i in range(len(t))] == [x[4] for x in slow_words(t, 20, anywhere=True)]
 
 
 def test_short_words_and_other_spacing_hide_no_passage(spark):
@@ -147,3 +150,16 @@ def test_very_long_text():
     h, p, s, e = passages.occurrences(u, passages.BYTES)
     assert (p >= s).all() and (e[:-1] == s[1:]).all() and e[-1] == len(u) - 399
     assert (p - s < 369 + 400).all()
+
+
+def test_null_ids_and_very_long_texts(spark):
+    r = random.Random(15)
+    long = " ".join(r.choice("abcdefgh") + str(r.randrange(9999)) for _ in range(60_000))
+    part = long[100_000:101_000]
+    df = spark.createDataFrame([(None, long), (3, "x " + part), (None, part + " y"), (4, "short")], "doc_id long, text string")
+    words = {(x.doc_id, x.n_words): x.n_removed for x in factors.removal_report(df).collect()}
+    inner = len(part.split())
+    assert words[4, 1] == 0 and words[3, inner + 1] == 0  # the smallest doc_id that there is keeps it
+    assert words[None, 60_000] in (inner, inner - 1, inner - 2) and words[None, inner + 1] in (inner, inner - 1, inner - 2)
+    gone = {(x.doc_id, x.n_bytes): x.n_removed for x in suffix_dedup.removal_report(df).collect()}
+    assert gone[3, 1002] == 1000 and gone[None, len(long)] == 1000 and gone[None, 1002] == 1000 and gone[4, 5] == 0
