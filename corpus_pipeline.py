@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from kilnspan.llm import bpe, kneser_ney, mixing, simhash, suffix_dedup
-from kilnspan.llm.common import cut, table
+from kilnspan.llm.common import cut_and_sweep, drop, table
 from kilnspan.llm.queries import RANKS
 
 
@@ -19,7 +19,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(docs)
+    return suffix_dedup.remove_passages(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written as Parquet and read again as the next one's docs."""
+    """All stages on documents, each written as Parquet and read again as the next one's docs; a stage's input goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        docs, before = cut_and_sweep(lambda: stage(spark, docs, sf_dir), name), docs  # noqa: B023
+        if k:
+            drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
