@@ -20,7 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import small_batches
+from .common import lean, small_batches
 
 #: Words whose ids a worker remembers; beyond it the table starts anew, which costs time and changes no result.
 REMEMBERED = 1_000_000
@@ -151,4 +151,4 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, digests: bool = F
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), n, *rest], [f.split()[0] for f in schema.split(", ")])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)

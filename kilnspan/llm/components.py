@@ -27,7 +27,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "n").where("o > n and m < o").select(F.col("m").alias("a"), F.col("o").alias("b")).distinct()
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("x")).select("x.a", "x.b").where("a < b").distinct()
-        e, before = cut(small, "edges"), e
+        e, before = cut(small, "edges", 2 * seen[0]), e
         drop(before)
         now = _signature(e)
         if now == seen:

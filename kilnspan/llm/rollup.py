@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..sources.commit import exists, names, publish, read_line, remove
 from . import bpe
-from .common import cut, shared_dir, small_batches
+from .common import cut, lean, shared_dir, small_batches
 
 KEYS = ("source", "lang", "version")
 SCHEMA = "source string, lang string, version string, docs long, tokens long, empty long"
@@ -119,7 +119,7 @@ def counted(docs: DataFrame, version: str, path: str, pattern: str) -> DataFrame
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], ["source", "lang", "tokens"])
 
     small_batches(docs.sparkSession)
-    return docs.select("source", "lang", "text").mapInArrow(run, "source string, lang string, tokens long").select("source", "lang", F.lit(version).alias("version"), "tokens")
+    return docs.select("source", "lang", "text").mapInArrow(lean(run), "source string, lang string, tokens long").select("source", "lang", F.lit(version).alias("version"), "tokens")
 
 
 def maintained_counts(docs: DataFrame, versions: dict[str, str], pattern: str) -> DataFrame:

@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small_batches
+from .common import cut, lean, row_key, small_batches
 from .components import components
 
 #: Generator polynomials of the perfect binary Golay code of length 23 (radius 3) and the Hamming code of length 15 (radius 1).
@@ -27,6 +28,8 @@ GOLAY, HAMMING = 0b101011100011, 0b10011
 #: (bits, generator, length of the code, radius); bits past the code's length are anchors as they are.
 PIECES = ((23, GOLAY, 23, 3), (23, GOLAY, 23, 3), (18, HAMMING, 15, 1))
 THRESHOLD = 4
+#: About as many anchors has a fingerprint.
+ANCHORS = 20
 #: Members of an anchor compared by one task at a time. Larger anchors are dealt to finer groups, and what is larger still is cut into blocks, each pair of blocks a task.
 BLOCK = 4096
 #: Stands for a missing doc_id.
@@ -62,7 +65,7 @@ def with_fingerprints(docs: DataFrame, width: int = 4, seed: int = 42) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(fps)], ["doc_id", "r", "fp"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").mapInArrow(run, "doc_id long, r long, fp long")
+    return docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").mapInArrow(lean(run), "doc_id long, r long, fp long")
 
 
 @lru_cache
@@ -164,12 +167,12 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
                 r, k = anchors_of(fps[at : at + 20_000], threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[at : at + 20_000][r])], ["anchor", "fp"])
 
-    placed = cut(distinct.select("fp").mapInArrow(place, "anchor long, fp long"), "anchors")
+    placed = cut(distinct.select("fp").mapInArrow(lean(place), "anchor long, fp long"), "anchors", ANCHORS * distinct.count())
     # at most one row for each codeword of PIECES: 24,576
     sizes = placed.groupBy("anchor").count().where("count > 1").select("anchor", (F.col("count") > BLOCK).alias("large"))
     members = placed.join(F.broadcast(sizes), "anchor")
     usual = members.where("not large").select(F.col("anchor").alias("g"), "fp")
-    groups = cut(usual.unionByName(_finer(members.where("large"), threshold)), "groups")
+    groups = cut(usual.unionByName(_finer(members.where("large"), threshold)), "groups", placed.count())
     over = groups.groupBy("g").count().where(F.col("count") > BLOCK).select("g", F.ceil(F.col("count") / BLOCK).cast("int").alias("n"))
     n = F.coalesce("n", F.lit(1))
     pairs = (
@@ -178,7 +181,7 @@ def links(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
         .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
     )
-    return pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(_local_links(threshold), "u long, v long")
+    return pairs.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(lean(_local_links(threshold)), "u long, v long")
 
 
 def _finer(members: DataFrame, threshold: int, pieces=PIECES) -> DataFrame:
@@ -204,16 +207,20 @@ def link_fingerprints(distinct: DataFrame, threshold: int = THRESHOLD) -> DataFr
 
 
 def _components(fps: DataFrame, threshold: int) -> DataFrame:
-    """(fp, least, root): each fingerprint with its smallest doc_id and the smallest (doc_id, fingerprint) that it reaches; no doc_id is the largest.
+    """(fp, root, least): each fingerprint, the smallest of its component's nodes and the smallest doc_id there; no doc_id is the largest.
 
-    Fingerprints enter the components under their smallest doc_id, so no component's rows need meet to find its own.
+    Fingerprints enter the components under their smallest doc_id, so no component's rows need meet to find its own. Where one doc_id is the
+    smallest of several fingerprints, the fingerprint goes with it, as they are not one node.
     """
-    classes = cut(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NONE))).alias("least")), "classes")
-    node = classes.select("fp", F.struct("least", "fp").alias("node"))
+    classes = cut(fps.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NONE))).alias("least")), "classes", fps.count())
+    shared = classes.groupBy("least").count().where("count > 1").limit(1).count()
+    own = F.struct("least", "fp") if shared else F.col("least")
+    node = classes.select("fp", own.alias("node"))
     u, v = (node.select(F.col("fp").alias(x), F.col("node").alias(f"n{x}")) for x in "uv")
     named = links(classes, threshold).join(u, "u").join(v, "v").select(F.col("nu").alias("u"), F.col("nv").alias("v"))
-    roots = components(named).select(F.col("node.fp").alias("fp"), "root")
-    return cut(classes.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", F.struct("least", "fp")).alias("root")), "linked")
+    roots = components(named)
+    found = node.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
+    return cut(found.select("fp", "root", F.col("root.least" if shared else "root").alias("least")), "linked", classes.count())
 
 
 def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = 4, seed: int = 42) -> DataFrame:
@@ -226,15 +233,16 @@ def simhash_groups(docs: DataFrame, threshold: int = THRESHOLD, width: int = 4,
     if there is none). Repeated rows come out as often as they went in. No rows give no rows.
     """
     fps = cut(with_fingerprints(docs, width, seed), "fingerprints")
-    found = _components(fps, threshold).select("fp", F.nullif(F.col("root.least"), F.lit(NONE)).alias("component_id"))
+    found = _components(fps, threshold).select("fp", F.nullif(F.col("least"), F.lit(NONE)).alias("component_id"))
     return fps.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """One row of each group: that of the smallest doc_id (null is the largest), of unlike texts with one doc_id that of the smallest key, of repeated rows any; columns unchanged."""
     fps = cut(with_fingerprints(docs), "fingerprints")
-    rows = fps.join(_components(fps, threshold).select("fp", "root"), "fp")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NONE)).alias("d"), "r")).alias("first")).select(F.col("first.r").alias("r"))
+    rows = fps.join(_components(fps, threshold), "fp").where(F.coalesce("doc_id", F.lit(NONE)) == F.col("least"))
+    first = rows.groupBy("root").agg(F.min("r").alias("r")).select("r")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own")
-    kept = docs.select(own, row_key(F.col("doc_id"), F.col("text")).alias("r")).join(first, "r", "left_semi")
-    return kept.dropDuplicates(["r"]).select("own.*")
+    kept = docs.select(own, row_key(F.col("doc_id"), F.col("text")).alias("r")).join(first, "r")
+    # the join has sorted by r already
+    return kept.withColumn("n", F.row_number().over(W.partitionBy("r").orderBy("r"))).where("n = 1").select("own.*")

@@ -86,3 +86,47 @@ def test_nothing_trusted_and_no_rows(spark):
     got = kn.quality_report(docs(spark, ["a b", None, ""]), labels).collect()
     assert {x.doc_id: x.accepted for x in got} == {0: True, 1: False, 2: False}
     assert kn.quality_report(docs(spark, []), labels).collect() == []
+
+
+def test_report_equals_brute_force(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choices("abcé", k=r.randrange(1, 5)))
+    texts = [" ".join(word() for _ in range(r.randrange(1, 12))) for _ in range(60)] + [None, "", "####", "a"]
+    langs = [("en", "de", None)[i % 3] for i in range(len(texts))]
+    rows = [(i, t, x, x) for i, (t, x) in enumerate(zip(texts, langs, strict=True))] + [(5, texts[5], langs[5], "again"), (None, "a b", "en", "no id")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, z string")
+    marks = [(i, int(i % 4 > 0), 0) for i in range(50)] + [(1, 0, 0), (2, 1, 1), (None, 1, 0)]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    quality = {}
+    for i, q, _ in marks:
+        quality[i] = min(q, quality.get(i, 1))
+    trusted = {i for i, q in quality.items() if q == 1 and i is not None}
+    fold = {x.id for x in spark.range(len(texts)).selectExpr("id", "pmod(xxhash64(id, 'fold'), 5) = 0 as f").where("f").collect()} & trusted
+    assert 3 < len(fold) < len(trusted)
+    p, cache = slow_model([t or "" for i, t, *_ in rows if i in trusted - fold], kn.ORDER), {}
+
+    def total(t):
+        b = b"\n" * (kn.ORDER - 1) + t.encode()
+        grams = [b[i : i + kn.ORDER] for i in range(len(t.encode()))]
+        for g in grams:
+            if g not in cache:
+                cache[g] = math.log(p(g))
+        return sum(cache[g] for g in grams)
+
+    sums = [(total(t or ""), len((t or "").encode())) for _, t, *_ in rows]
+    every = [k for k, row in enumerate(rows) if row[0] in fold and sums[k][1]]
+    mean = sum(sums[k][0] for k in every) / sum(sums[k][1] for k in every)
+    loss = [-(s + mean * kn.PRIOR) / (n + kn.PRIOR) for s, n in sums]
+    top = lambda ks: sorted(loss[k] for k in ks)[math.ceil(kn.QUANTILE * len(ks)) - 1] + kn.SLACK
+    limit = {x: top([k for k in every if rows[k][2] == x]) for x in {rows[k][2] for k in every}}
+    want = sorted(((row[0], row[2], n, round(math.exp(x), 6), round(math.exp(limit.get(row[2], top(every))), 6), n > 0 and x <= limit.get(row[2], top(every))) for row, (_, n), x in zip(rows, sums, loss, strict=True)), key=str)
+    got = sorted(((x.doc_id, x.lang, x.n_bytes, round(x.perplexity, 6), round(x.threshold, 6), x.accepted) for x in kn.quality_report(d, labels).collect()), key=str)
+    assert got == want
+    kept = sorted(((x.doc_id, x.text, x.z) for x in kn.keep_accepted(d, labels).collect()), key=str)
+    assert kept == sorted(((row[0], row[1], row[3]) for row, n, x in zip(rows, sums, loss, strict=True) if n[1] and x <= limit.get(row[2], top(every))), key=str)
+
+
+def test_ties_at_the_threshold_are_accepted(spark):
+    d = docs(spark, ["the same text"] * 40)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert all(x.accepted for x in kn.quality_report(d, labels).collect())
