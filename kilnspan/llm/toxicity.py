@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, row_key, small_batches
+from .common import cut, lean, row_key, small_batches
 
 #: Buckets of n-gram vectors and their size; n-gram lengths; words averaged in a window.
 BUCKETS, SIZE, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 3
@@ -94,12 +94,19 @@ class Sample:
     at: np.ndarray
 
     @classmethod
-    def of(cls, docs: list[tuple[int, np.ndarray]], hashes: np.ndarray, grams: list[np.ndarray]) -> Sample:
-        """docs: label and word hashes of each document; hashes, ascending, and n-grams of the distinct words."""
-        docs = [(y, w) for y, w in docs if len(w)]
-        sizes = np.array([len(g) for g in grams], np.int64)
-        words = np.searchsorted(hashes, np.concatenate([w for _, w in docs])) if docs else np.zeros(0, np.int64)
-        return cls(words, np.array([len(w) for _, w in docs], np.int64), np.array([y for y, _ in docs]), np.concatenate(grams) if len(grams) else np.zeros(0, np.int64), np.cumsum(sizes) - sizes)
+    def of(cls, y: np.ndarray, docs: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, vocabulary: tuple[np.ndarray, np.ndarray]) -> Sample:
+        """docs: the documents' word hashes, one after another, and their numbers of words; hashes, ascending, and n-grams of the distinct words likewise."""
+        (words, sizes), (grams, counts) = docs, vocabulary
+        return cls(np.searchsorted(hashes, words), sizes[sizes > 0], y[sizes > 0], grams, np.cumsum(counts) - counts)
+
+
+def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of a column of binaries, one row after another, and how many each row has; no row becomes an object."""
+    size = np.dtype(kind).itemsize
+    rows = [c.cast(pa.large_binary()) for c in column.chunks if len(c)]
+    ends = [np.frombuffer(c.buffers()[1], np.int64)[c.offset : c.offset + len(c) + 1] for c in rows]
+    values = [np.frombuffer(c.buffers()[2], np.uint8)[e[0] : e[-1]].view(kind) if e[-1] > e[0] else np.zeros(0, kind) for c, e in zip(rows, ends, strict=True)]
+    return np.concatenate(values or [np.zeros(0, kind)]), np.concatenate([np.diff(e) // size for e in ends] or [np.zeros(0, np.int64)])
 
 
 def train(sample: Sample, epochs: int = EPOCHS, seed: int = 3) -> Model:
@@ -190,13 +197,13 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             b = whole.slice(at, 256)
             docs = [split(t) for t in b.column(1).to_pylist()]
             words = list({w for d in docs for w in d})
-            code = dict(zip(words, (xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), strict=True))
-            w = [np.fromiter((code[x] for x in d), np.uint64, len(d)).tobytes() for d in docs]
+            h = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+            code = dict(zip(words, h.tolist(), strict=True))
+            w = [np.fromiter((code[x] for x in d), np.int64, len(d)).tobytes() for d in docs]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int32()), pa.array(w, pa.binary()), pa.nulls(len(w), pa.int64()), pa.nulls(len(w), pa.binary())], ["y", "w", "h", "g"])
             if words:
                 grams, starts = subwords(words)
                 g = [x.astype(np.int32).tobytes() for x in np.split(grams, starts[1:])]
-                h = np.fromiter(code.values(), np.uint64, len(code)).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(g), pa.int32()), pa.nulls(len(g), pa.binary()), pa.array(h), pa.array(g, pa.binary())], ["y", "w", "h", "g"])
 
 
@@ -205,17 +212,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, volume: int =
     small_batches(docs.sparkSession)
     chosen = labelled_sample(docs, labels, sample, volume)
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("r"), "text").join(F.broadcast(chosen), "r").dropDuplicates(["r"])
-    made = cut(texts.select("y", "text").mapInArrow(_numbers, "y int, w binary, h long, g binary"), "sample")
-    found = made.where("w is not null").orderBy("y", "w").select("y", "w").toArrow()
-    rows = [(y, np.frombuffer(w, np.uint64)) for y, w in zip(found.column("y").to_pylist(), found.column("w").to_pylist(), strict=True)]
-    del found
-    words = made.where("h is not null").dropDuplicates(["h"]).select("h", "g").toArrow()
-    h = words.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    g = words.column("g").to_pylist()
-    numbers = Sample.of(rows, h[order], [np.frombuffer(g[i], np.int32) for i in order])
-    del words, g, rows
-    return train(numbers)
+    made = cut(texts.select("y", "text").mapInArrow(lean(_numbers), "y int, w binary, h long, g binary"), "sample")
+    rows = made.where("w is not null").orderBy("y", "w").select("y", "w").toArrow()
+    y, texts = rows.column("y").to_numpy().astype(np.int64), _flat(rows.column("w"), np.int64)
+    words = made.where("h is not null").dropDuplicates(["h"]).orderBy("h").select("h", "g").toArrow()
+    return train(Sample.of(y, texts, words.column("h").to_numpy(), _flat(words.column("g"), np.int32)))
 
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -231,7 +232,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), b.column(1), pa.array(p), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

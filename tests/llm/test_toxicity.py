@@ -85,9 +85,9 @@ def test_training_steps_down_the_loss():
     r = random.Random(6)
     rows = [(i % 2, text(r, i % 2, 12).split()) for i in range(60)]
     words = sorted({w for _, d in rows for w in d})
-    h = np.arange(len(words), dtype=np.uint64)
     grams, at = toxicity.subwords(words)
-    sample = toxicity.Sample.of([(y, np.array([words.index(w) for w in d], np.uint64)) for y, d in rows], h, np.split(grams, at[1:]))
+    flat = np.array([words.index(w) for _, d in rows for w in d]), np.array([len(d) for _, d in rows])
+    sample = toxicity.Sample.of(np.array([y for y, _ in rows]), flat, np.arange(len(words)), (grams, np.diff(np.append(at, len(grams)))))
     loss = lambda m: sum(-math.log(p if y else 1 - p) for (y, d), p in zip(rows, [1 / (1 + math.exp(-(np.mean(m.words(d)) + m.bias))) for _, d in rows], strict=True))
     before, after = toxicity.train(sample, 0), toxicity.train(sample, 5)
     assert loss(after) < 0.9 * loss(before)
