@@ -24,6 +24,8 @@ BUCKETS, SIZE, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5, 6), 3
 #: Most labelled documents of each class that are taken for training, those of smallest hash, and bytes of text after which no more are taken.
 SAMPLE, SAMPLE_BYTES = 2000, 8 << 20
 EPOCHS, RATE = 40, 0.05
+#: n-grams whose errors are spread at once.
+SPREAD = 1 << 19
 #: Words whose scores a task remembers.
 REMEMBERED = 500_000
 THRESHOLD = 0.7
@@ -137,9 +139,11 @@ def train(sample: Sample, epochs: int = EPOCHS, seed: int = 3) -> Model:
         inside = np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
         per_word = np.bincount(words[inside], np.repeat(error / length, length), len(at))
         used = np.flatnonzero(per_word)
-        spread = np.repeat(n[used], n[used])
-        flat = grams[np.repeat(at[used] - (np.cumsum(n[used]) - n[used]), n[used]) + np.arange(n[used].sum())]
-        per_gram = np.bincount(flat, np.repeat(per_word[used], n[used]) / spread, BUCKETS).astype(np.float32)
+        per_gram = np.zeros(BUCKETS)
+        for part in np.array_split(used, max(1, n[used].sum() // SPREAD)):
+            flat = grams[np.repeat(at[part] - (np.cumsum(n[part]) - n[part]), n[part]) + np.arange(n[part].sum())]
+            per_gram += np.bincount(flat, np.repeat(per_word[part] / n[part], n[part]), BUCKETS)
+        per_gram = per_gram.astype(np.float32)
         touched = np.flatnonzero(per_gram)
         to_soft = vectors[touched].T @ per_gram[touched]
         grads = [per_gram[:, None] * (soft[:, 1] - soft[:, 0]) + 1e-7 * vectors, np.stack([-to_soft, to_soft], 1), np.array([-error.sum(), error.sum()], np.float32)]
