@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, partitions, small_batches
+from .common import cut, lean, partitions, small_batches
 from .passages import packed, unpack
 
 ORDER = 5
@@ -25,6 +25,8 @@ ORDER = 5
 SENT, SENT_IDS = 4_000_000, 2_000_000
 #: Bytes of text in a part.
 PART = 12 << 20
+#: Bytes of text whose n-grams are looked up at once.
+CHUNK = 1 << 20
 #: Share of trusted documents kept from training, one in so many, to set the thresholds.
 CALIBRATE = 5
 #: Documents worse than this quantile of trusted ones in their language, by this many nats a byte, are rejected.
@@ -75,7 +77,7 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], ["g", "c"])
 
     small_batches(texts.sparkSession)
-    return texts.select("text").mapInArrow(run, "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(lean(run), "g long, c long").groupBy("g").agg(F.sum("c").alias("c"))
 
 
 def model(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFrame]]:
@@ -92,7 +94,7 @@ def model(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFra
     tables: list[tuple[DataFrame, DataFrame]] = []
     for k in range(1, order + 1):
         t = by_length[k].withColumn("ctx", F.shiftright("g", 8))
-        n = [t.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)]).first()[i] for i in range(4)]
+        *n, size = t.agg(*[F.count(F.when(F.col("c") == i, 1)).alias(f"n{i}") for i in (1, 2, 3, 4)], F.count("*").alias("size")).first()
         d = [0.5] * 3
         if all(n):
             y = n[0] / (n[0] + 2 * n[1])
@@ -104,7 +106,7 @@ def model(texts: DataFrame, order: int = ORDER) -> list[tuple[DataFrame, DataFra
             shorter = F.lit(1 / 256)
         else:
             joined, shorter = joined.join(tables[-1][0].select(F.col("g").alias("low"), F.col("p").alias("q")), "low"), F.col("q")
-        tables.append((cut(joined.select("g", (F.col("kept") / F.col("total") + F.col("back") * shorter).alias("p")), "model"), cut(contexts.select("ctx", "back"), "model")))
+        tables.append((cut(joined.select("g", (F.col("kept") / F.col("total") + F.col("back") * shorter).alias("p")), "model", size), cut(contexts.select("ctx", "back"), "model", size)))
     return tables
 
 
@@ -153,9 +155,20 @@ def _asks(order: int):
     return run
 
 
-def _total(logp: np.ndarray, g: np.ndarray, text: bytes, order: int) -> float:
-    x = grams(text, order)
-    return float(logp[np.searchsorted(g, x)].sum()) if len(x) else 0.0
+def _totals(logp: np.ndarray, g: np.ndarray, texts: list[bytes], order: int) -> np.ndarray:
+    """Log probability of each text; the distinct n-grams of a CHUNK of bytes are looked up once, in order."""
+    out = np.zeros(len(texts))
+    at = 0
+    while at < len(texts):
+        end, size = at + 1, len(texts[at])
+        while end < len(texts) and size + len(texts[end]) <= CHUNK:
+            size += len(texts[end])
+            end += 1
+        found, place = np.unique(np.concatenate([grams(t, order) for t in texts[at:end]]), return_inverse=True)
+        owner = np.repeat(np.arange(end - at), [len(t) for t in texts[at:end]])
+        out[at:end] = np.bincount(owner, logp[np.searchsorted(g, found)][place], end - at)
+        at = end
+    return out
 
 
 def _score(order: int):
@@ -179,8 +192,7 @@ def _score_sent(order: int, sent):
 
 def _scored(docs: pa.Table, g: np.ndarray, logp: np.ndarray, order: int, columns: list[str]) -> pa.Table:
     texts = [unpack(z) for z in docs.column("z").to_pylist()]
-    sums = [_total(logp, g, t, order) for t in texts]
-    return pa.table([*(docs.column(c) for c in columns), pa.array(sums, pa.float64()), pa.array([len(t) for t in texts], pa.int64())], [*columns, "sum", "bytes"])
+    return pa.table([*(docs.column(c) for c in columns), pa.array(_totals(logp, g, texts, order)), pa.array([len(t) for t in texts], pa.int64())], [*columns, "sum", "bytes"])
 
 
 def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: int = ORDER) -> DataFrame:
@@ -188,17 +200,17 @@ def scored(docs: DataFrame, tables: list[tuple[DataFrame, DataFrame]], order: in
     spark = docs.sparkSession
     dealt = packed(docs, *[c for c in docs.columns if c != "text"]).select("r", "z", "own")
     out = T.StructType([*dealt.select("z", "own").schema, *T.StructType.fromDDL("sum double, bytes long")])
-    whole = dealt.select(F.lit(0).alias("part"), "z").mapInArrow(_asks(order), "part int, g long")
+    whole = dealt.select(F.lit(0).alias("part"), "z").mapInArrow(lean(_asks(order)), "part int, g long")
     known = cut(probabilities(whole.select("g").distinct(), tables), "known")
     if known.count() <= SENT:
         answers = known.toArrow()
         g, logp = answers.column("g").to_numpy(), answers.column("logp").to_numpy()
         at = np.argsort(g)
-        return dealt.select("z", "own").mapInArrow(_score_sent(order, spark.sparkContext.broadcast((g[at], logp[at]))), out)
+        return dealt.select("z", "own").mapInArrow(lean(_score_sent(order, spark.sparkContext.broadcast((g[at], logp[at])))), out)
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(-(-volume // PART)), partitions(spark))
     dealt = cut(dealt.select(F.pmod("r", F.lit(parts)).cast("int").alias("part"), "z", "own").repartition(parts, "part"), "dealt")
-    asked = dealt.select("part", "z").mapInArrow(_asks(order), "part int, g long").distinct()
+    asked = dealt.select("part", "z").mapInArrow(lean(_asks(order)), "part int, g long").distinct()
     return dealt.groupBy("part").cogroup(asked.join(known, "g").groupBy("part")).applyInArrow(_score(order), out)
 
 
@@ -209,7 +221,7 @@ def _ids(df: DataFrame) -> DataFrame:
 def _graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(z, own, bytes, loss, limit, ok) for each row of docs; loss and limit in nats a byte."""
     trusted = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1 and doc_id is not null")
-    trusted = cut(trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("fold")), "trusted")
+    trusted = cut(trusted.select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(CALIBRATE)) == 0).alias("fold")), "trusted", labels.count())
     tables = model(docs.select("doc_id", "text").join(_ids(trusted.where("not fold")), "doc_id", "left_semi").select("text"))
     s = cut(scored(docs, tables), "scored")
     every = s.select(F.col("own.doc_id").alias("doc_id"), F.col("own.lang").alias("lang"), "sum", "bytes").join(trusted.where("fold"), "doc_id", "left_semi").where("bytes > 0")
@@ -247,4 +259,4 @@ def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     g = _graded(docs, labels).where("ok").select("z", "own")
     out = T.StructType([T.StructField("text", T.StringType()), g.schema["own"]])
-    return g.mapInArrow(run, out).select("text", "own.*").select(*[f"`{c}`" for c in docs.columns])
+    return g.mapInArrow(lean(run), out).select("text", "own.*").select(*[f"`{c}`" for c in docs.columns])
