@@ -70,7 +70,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def cut_and_sweep(make: Callable[[], DataFrame], name: str) -> DataFrame:
-    """cut() of what make returns, without the folders that make has cut on the way: the result no longer reads them."""
+    """cut() of what make returns, without the folders that make has cut on the way: the result no longer reads them. Not for several threads of a driver at once."""
     mark = len(_written)
     out = cut(make(), name)
     sweep(out.sparkSession, (out,), mark)
