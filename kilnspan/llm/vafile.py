@@ -1,7 +1,7 @@
 """Exact top-k by inner product with vector-approximation files.
 
-Each vector's cells, a byte a component, are a table of their own. A scan of it bounds every query's product with every
-vector; the exact vectors are read only for the pairs whose upper bound reaches the query's k-th highest lower bound.
+Each vector's cells, a byte a component, are written once, beside the exact vectors. A scan of the cells bounds every query's
+product with every vector; exact products are made in order of the upper bounds, until the k-th result is certain.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from .common import cut, lean
 
 #: Queries sent to every task at once; more are taken in further scans of the cells.
 QUERIES = 8192
-#: Cells a component; candidates and queries whose bounds are held at once.
-CELLS, BLOCK, TILE = 256, 4096, 256
+#: Cells a component; candidates and queries whose bounds are held at once; exact vectors read at once.
+CELLS, BLOCK, TILE, READ = 256, 4096, 256, 64
 #: Scores past the ends of a long count as these.
 LEAST, MOST = -(1 << 63) + 1, (1 << 63) - 1
 
@@ -74,11 +74,15 @@ def exact_vectors(vectors: DataFrame, is_query: Column, scale: int) -> DataFrame
     return made.join(twice, "vec_id", "left_anti").unionByName(made.join(twice, "vec_id", "left_semi").distinct())
 
 
+def _float(c: int) -> float:
+    return float(c) if abs(c) < 1 << 1000 else math.copysign(math.inf, c)
+
+
 def _matrix(b: pa.RecordBatch, name: str = "x") -> np.ndarray:
     """The rows' vectors, all of one length, as floats, which bounds allow for."""
     x = b.column(b.schema.get_field_index(name))
     if x.null_count:
-        return np.array([[float(int(c)) if abs(int(c)) < 1 << 1000 else math.copysign(math.inf, int(c)) for c in row] for row in b.column(b.schema.get_field_index("large")).to_pylist()])
+        return np.array([[_float(int(c)) for c in row] for row in b.column(b.schema.get_field_index("large")).to_pylist()])
     return x.flatten().to_numpy().astype(float).reshape(len(x), -1)
 
 
@@ -115,29 +119,52 @@ class Grid:
             return np.nan_to_num(mid - off, nan=-np.inf, posinf=np.inf, neginf=-np.inf), np.nan_to_num(mid + off, nan=np.inf, posinf=np.inf, neginf=-np.inf)
 
 
+def better(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best distinct pairs, ties to the smaller id."""
+    order = np.lexsort((ids, -scores))
+    ids, scores = ids[order], scores[order]
+    new = np.ones(len(ids), bool)
+    new[1:] = (np.diff(ids) != 0) | (np.diff(scores) != 0)
+    return ids[new][:k], scores[new][:k]
+
+
 class Search:
-    """The pairs of some queries that a task's candidates leave open, as blocks of cells come in."""
+    """The best of a task's candidates for some queries, as blocks of cells and vectors come in."""
 
-    def __init__(self, grid: Grid, ids: np.ndarray, q: np.ndarray, k: int):
-        self.grid, self.ids, self.q, self.k = grid, ids, q, k
-        self.top = np.full((len(ids), k), -np.inf)  # the k highest lower bounds so far, the k-th first
-        self.open: list[tuple[np.ndarray, ...]] = []
+    def __init__(self, grid: Grid, ids: np.ndarray, q: np.ndarray, exact: list[np.ndarray], k: int):
+        self.grid, self.ids, self.q, self.exact, self.k = grid, ids, q, exact, k
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+        self.read = 0
 
-    def add(self, ids: np.ndarray, cells: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, cells: np.ndarray, x: np.ndarray) -> None:
         for at in range(0, len(self.ids), TILE):
-            tile = slice(at, at + TILE)
-            least, most = self.grid.bounds(self.q[tile], cells)
-            own = self.ids[tile, None] == ids
-            least[own] = most[own] = -np.inf
-            both = np.concatenate([self.top[tile], least], 1)
-            self.top[tile] = np.partition(both, both.shape[1] - self.k, 1)[:, -self.k :]
-            i, j = np.nonzero((most >= self.top[tile].min(1)[:, None]) & ~own)
-            self.open.append((i + at, ids[j], least[i, j], most[i, j]))
-
-    def pairs(self) -> tuple[np.ndarray, ...]:
-        i, ids, least, most = (np.concatenate(x) for x in zip(*self.open, strict=True))
-        near = most >= self.top.min(1)[i]
-        return self.ids[i[near]], ids[near], least[near], most[near]
+            _, most = self.grid.bounds(self.q[at : at + TILE], cells)
+            for i in range(len(most)):
+                self._take(at + i, ids, most[i], x)
+
+    def _take(self, i: int, ids: np.ndarray, most: np.ndarray, x: np.ndarray) -> None:
+        """Vectors are read in order of their upper bounds, until the k-th score is above what is left."""
+        b_ids, b_scores = self.best[i]
+        bar = b_scores[-1] if len(b_scores) == self.k else -np.inf
+        near = np.flatnonzero((most >= bar) & (ids != self.ids[i]))
+        near = near[np.argsort(-most[near], kind="stable")]
+        for at in range(0, len(near), READ):
+            if len(b_scores) == self.k and most[near[at]] < b_scores[-1]:
+                break
+            part = near[at : at + READ]
+            self.read += len(part)
+            b_ids, b_scores = better(np.append(b_ids, ids[part]), np.append(b_scores, scores_of(x[part], self.exact[i])), self.k)
+        self.best[i] = b_ids, b_scores
+
+    def rows(self) -> tuple[np.ndarray, ...]:
+        return np.repeat(self.ids, [len(i) for i, _ in self.best]), *(np.concatenate([b[z] for b in self.best]) for z in (0, 1))
+
+
+def scores_of(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a query, exactly."""
+    if x.dtype != object and q.dtype != object:
+        return x @ q
+    return np.array([products(row, q.tolist()) for row in x.tolist()], np.int64)
 
 
 def products(x: list[int], q: list[int]) -> int:
@@ -152,8 +179,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
     null, empty or hold a null or non-finite component take no part, nor do rows without an id; only vectors of one length are compared. Ties go to the
     smaller vec_id. Repeated rows count once. Extra columns are ignored; no rows give no rows.
 
-    Every task scans its cells for all queries of a round and names the pairs that its own bounds leave open; of these the query's k-th
-    highest lower bound over all tasks leaves those that are multiplied in full. The driver holds a round's queries and the cells' edges: two numbers a component.
+    Every task scans its cells for all queries of a round, reads exact vectors in order of their upper bounds until its k-th score is certain, and keeps k for
+    each query, however many vectors are alike. The driver holds a round's queries and the cells' edges: two numbers a component.
     """
     spark = vectors.sparkSession
     exact = exact_vectors(vectors, is_query, scale)
@@ -168,75 +195,51 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024)
         for d, (low, high) in found.items():
             yield pa.RecordBatch.from_arrays([pa.array(np.full(d, d, np.int32)), pa.array(np.arange(d, dtype=np.int32)), pa.array(low), pa.array(high)], ["d", "at", "low", "high"])
 
-    # pairs of one query's and one candidate's id may all be one result, so as many times more are kept as ids have rows
-    times = max(1, exact.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1)
-    keep = k * times * times
     ends = exact.mapInArrow(lean(extremes), "d int, at int, low double, high double").groupBy("d", "at").agg(F.min("low").alias("low"), F.max("high").alias("high")).orderBy("d", "at").toPandas()
     grids = {int(d): Grid(e["low"].to_numpy(), e["high"].to_numpy()) for d, e in ends.groupby("d")}
-    past = any(max(abs(e["low"].min()), abs(e["high"].max())) >= largest(d) for d, e in ends.groupby("d"))
-
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in _alike(whole):
                 x = _matrix(b)
                 cells = grids[x.shape[1]].cells(x)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.tobytes() for c in cells], pa.binary())], ["vec_id", "d", "cells"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([c.tobytes() for c in cells], pa.binary()), b.column(3), b.column(4)], ["vec_id", "d", "cells", "x", "large"])
 
-    cells = cut(exact.mapInArrow(lean(place), "vec_id long, d int, cells binary"), "cells")
+    cells = cut(exact.mapInArrow(lean(place), "vec_id long, d int, cells binary, x array<long>, large array<string>"), "cells")
     queries = cut(exact.where("asked").select(F.col("vec_id").alias("query_id"), "d", F.col("x").alias("qx"), F.col("large").alias("qlarge")), "queries")
 
-    def scan(asked: dict[int, tuple[list[int], list[list[float]]]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast({d: (np.array(i), np.array(q)) for d, (i, q) in asked.items()})
+    def scan(asked: dict[int, tuple[list[int], list[np.ndarray]]]) -> DataFrame:
+        sent = spark.sparkContext.broadcast(asked)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            searches = {d: Search(grids[d], *q, keep) for d, q in sent.value.items()}
+            searches = {d: Search(grids[d], np.array(i), np.array([[_float(c) for c in q.tolist()] for q in exact]), exact, k) for d, (i, exact) in sent.value.items()}
             for whole in batches:
                 for at in range(0, whole.num_rows, BLOCK):
-                    b = whole.slice(at, BLOCK)
-                    ids, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-                    for n in np.unique(d):
-                        if n in searches:
-                            mine = np.flatnonzero(d == n)
-                            rows = b.column(2).take(pa.array(mine)).to_pylist()
-                            searches[n].add(ids[mine], np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), n))
+                    for b in _alike(whole.slice(at, BLOCK)):
+                        d = b.column(1)[0].as_py()
+                        if d in searches:
+                            rows = b.column(2).to_pylist()
+                            x = b.column(3).flatten().to_numpy().reshape(len(rows), d) if not b.column(3).null_count else np.array([[int(c) for c in row] for row in b.column(4).to_pylist()], object)
+                            searches[d].add(b.column(0).to_numpy(), np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), d), x)
             for s in searches.values():
-                if s.open:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in s.pairs()], ["query_id", "vec_id", "least", "most"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in s.rows()], ["query_id", "vec_id", "score"])
 
-        return cells.mapInArrow(lean(run), "query_id long, vec_id long, least double, most double")
+        return cells.mapInArrow(lean(run), "query_id long, vec_id long, score long")
 
     # a bounded number of queries at a time; the rest stays in its table until its turn
     rounds, asked, held = [], {}, 0
     for row in queries.toLocalIterator():
         i, q = asked.setdefault(row.d, ([], []))
         i.append(row.query_id)
-        q.append([float(c) for c in row.qx] if row.qlarge is None else [float(int(c)) if abs(int(c)) < 1 << 1000 else math.copysign(math.inf, int(c)) for c in row.qlarge])
+        q.append(np.array(row.qx) if row.qlarge is None else np.array([int(c) for c in row.qlarge], object))
         held += 1
         if held == QUERIES:
             rounds.append(scan(asked))
             asked, held = {}, 0
     if held or not rounds:
         rounds.append(scan(asked))
-    open_ = rounds[0]
+    found = rounds[0]
     for more in rounds[1:]:
-        open_ = open_.unionByName(more)
-    open_ = cut(open_, "open")
-    best = W.partitionBy("query_id").orderBy(F.desc("least"))
-    bar = open_.select("query_id", "least", F.row_number().over(best).alias("n")).where(F.col("n") <= keep).groupBy("query_id").agg(F.when(F.count("*") == keep, F.min("least")).otherwise(-float("inf")).alias("bar"))
-    pairs = open_.join(bar, "query_id").where("most >= bar").select("query_id", "vec_id").distinct()
-    full = pairs.join(queries, "query_id").join(exact.select("vec_id", "d", "x", "large"), ["vec_id", "d"])
-    score = F.aggregate(F.zip_with("qx", "x", lambda a, b: a * b), F.lit(0).cast("long"), lambda a, b: a + b)
-    if past:
-
-        def slow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                columns = [b.column(i).to_pylist() for i in range(2, 6)]
-                scores = [products([int(c) for c in x or large], [int(c) for c in q or qlarge]) for q, qlarge, x, large in zip(*columns, strict=True)]
-                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
-
-        found = full.select("query_id", "vec_id", "qx", "qlarge", "x", "large").mapInArrow(lean(slow), "query_id long, vec_id long, score long")
-    else:
-        found = full.select("query_id", "vec_id", score.alias("score"))
+        found = found.unionByName(more)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -78,7 +78,10 @@ def test_bounds_hold_and_cells_leave_few_pairs_open():
     least, most = grid.bounds(x[:50], grid.cells(x))
     true = x[:50] @ x.T
     assert (least <= true).all() and (true <= most).all()
-    s = vafile.Search(grid, np.arange(50), x[:50], 10)
+    whole = x.astype(np.int64)
+    s = vafile.Search(grid, np.arange(50), x[:50], list(whole[:50]), 10)
     for at in range(0, 5000, 1000):
-        s.add(np.arange(at, at + 1000), grid.cells(x[at : at + 1000]))
-    assert len(s.pairs()[0]) < 50 * 60
+        s.add(np.arange(at, at + 1000), grid.cells(x[at : at + 1000]), whole[at : at + 1000])
+    assert s.read < 50 * 400
+    np.fill_diagonal(true, -np.inf)
+    assert [set(i.tolist()) for i, _ in s.best] == [set(np.argsort(-t)[:10].tolist()) for t in true]
