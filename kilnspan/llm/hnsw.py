@@ -50,37 +50,48 @@ class Graph:
             width = self.layers[k].shape[1]
             best = np.argsort(-s, axis=1, kind="stable")[:, : 2 * width]
             c, s = np.take_along_axis(c, best, 1), np.take_along_axis(s, best, 1)
-            for a, cs, ss in zip(mates, c, s, strict=True):
-                cs = cs[np.isfinite(ss) & (cs >= 0)]
-                chosen = self._spread(a, cs, width // 2)
-                self.layers[k][a, : len(chosen)] = chosen
-                for b in chosen:
-                    self._link(k, b, a)
+            c = np.where(np.isfinite(s), c, -1)
+            chosen = self._spread(c, s, width // 2)
+            self.layers[k][mates, : width // 2] = chosen
+            i, j = np.nonzero(chosen >= 0)
+            self._link_back(k, chosen[i, j], mates[i])
 
-    def _spread(self, a: int, near: np.ndarray, most: int) -> np.ndarray:
-        """Of candidates, nearest first, those nearer to a than to any chosen before; the nearest of the others fill up."""
-        if len(near) <= most:
-            return near
-        to = self.x[near] @ self.x[a]
-        between = self.x[near] @ self.x[near].T
-        chosen: list[int] = []
-        for i in range(len(near)):
-            if all(between[i, j] < to[i] for j in chosen):
-                chosen.append(i)
-                if len(chosen) == most:
-                    break
-        chosen += [i for i in range(len(near)) if i not in set(chosen)][: most - len(chosen)]
-        return near[chosen]
+    def _spread(self, near: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """Of each row's candidates, nearest first (-1 pads), those nearer to the row's node than to any chosen before; the nearest of the others fill up."""
+        x = self.x[near]
+        between = x @ x.transpose(0, 2, 1)
+        out, chosen, n = near < 0, np.zeros(near.shape, bool), np.zeros(len(near), int)
+        for i in range(near.shape[1]):
+            chosen[:, i] = ok = ~out[:, i] & (n < most)
+            n += ok
+            out |= ok[:, None] & (between[:, :, i] >= sims)
+        best = np.argsort(np.where(chosen, 0, np.where(near >= 0, 1, 2)), axis=1, kind="stable")[:, :most]
+        found = np.take_along_axis(near, best, 1)
+        return np.pad(found, ((0, 0), (0, most - found.shape[1])), constant_values=-1)
 
-    def _link(self, k: int, b: int, a: int) -> None:
-        row = self.layers[k][b]
-        free = np.flatnonzero(row < 0)
-        if len(free):
-            row[free[0]] = a
-            return
-        near = np.append(row, a)
-        near = near[np.argsort(-(self.x[near] @ self.x[b]), kind="stable")]
-        row[:] = self._spread(b, near, len(row))
+    def _link_back(self, k: int, nodes: np.ndarray, others: np.ndarray) -> None:
+        """Each node gains its others as neighbours; where that is too many, the spread of the nearest stays."""
+        order = np.argsort(nodes, kind="stable")
+        nodes, others = nodes[order], others[order]
+        own, start, counts = np.unique(nodes, return_index=True, return_counts=True)
+        width = self.layers[k].shape[1]
+        for at in range(0, len(own), 1024):
+            part, n, first = own[at : at + 1024], counts[at : at + 1024], start[at : at + 1024]
+            row = self.layers[k][part]
+            new = np.full((len(part), int(n.max())), -1, np.int64)
+            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            new[np.repeat(np.arange(len(part)), n), inside] = others[first[0] : first[0] + n.sum()]
+            new[(new[:, :, None] == row[:, None, :]).any(2)] = -1
+            c = np.concatenate([row, new], 1)
+            s = np.einsum("ncd,nd->nc", self.x[c], self.x[part])
+            s[c < 0] = -np.inf
+            best = np.argsort(-s, axis=1, kind="stable")[:, : 3 * width]
+            c, s = np.take_along_axis(c, best, 1), np.take_along_axis(s, best, 1)
+            full = (c >= 0).sum(1) > width
+            kept = c[:, :width].copy()
+            if full.any():
+                kept[full] = self._spread(c[full], s[full], width)
+            self.layers[k][part] = kept
 
     def beam(self, q: np.ndarray, start: np.ndarray, k: int, width: int, at_once: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Ids (-1 pads) and similarities of the best nodes met on layer k, nearest first, from each query's start nodes."""
