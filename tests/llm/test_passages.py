@@ -24,6 +24,25 @@ def test_suffix_array_over_small_and_large_alphabets(letters):
     assert suffix.suffix_array(np.array(t), letters + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i : i + 400])
 
 
+def test_the_end_of_a_block_is_no_part_of_a_repeat():
+    r = random.Random(16)
+    for off in range(64):
+        x, pad = r.choices(b"abc", k=400), r.choices(b"gh", k=off)
+        # only the second and the third block share 400 bytes; the first one has 399 of them
+        blocks = [np.array(b, np.uint8) for b in (pad + x[1:] + [ord("d")], [ord("e")] + x, [ord("f")] + x)]
+        assert [s.tolist() for s in suffix.repeated_starts(blocks, 400)] == [[], [1], [1]]
+
+
+@pytest.mark.parametrize("top", [244, 253, 254, 255])
+def test_repeats_of_any_bytes(top):
+    r = random.Random(top)
+    for _ in range(100):
+        blocks = [bytes(r.choices([0, 1, top], k=r.randrange(30))) for _ in range(5)]
+        seen = Counter(b[i : i + 6] for b in blocks for i in range(len(b) - 5))
+        want = [[i for i in range(len(b) - 5) if seen[b[i : i + 6]] > 1] for b in blocks]
+        assert [s.tolist() for s in suffix.repeated_starts([np.frombuffer(b, np.uint8) for b in blocks], 6)] == want
+
+
 def texts(r, unit, join):
     """Documents of a few shared passages among own words, with runs, nulls, blanks and copies."""
     own = lambda n: [unit(r) for _ in range(n)]
@@ -95,6 +114,15 @@ def test_bytes_equal_brute_force(spark, group, monkeypatch):
     assert [tuple(x) for x in got] == [(i, *x) for i, x in enumerate(slow_bytes(t, 60))]
 
 
+@pytest.mark.parametrize("window", [16, 60])
+def test_bytes_of_short_windows_equal_brute_force(spark, window):
+    r = random.Random(17)
+    t = ["".join(r.choices("ab", k=r.randrange(3 * window))) for _ in range(60)]
+    t += [x[r.randrange(4) :] + r.choice("abc") for x in t]
+    got = sorted(suffix_dedup.removal_report(docs(spark, t), window).collect())
+    assert [tuple(x) for x in got] == [(i, *x) for i, x in enumerate(slow_bytes(t, window))]
+
+
 @pytest.mark.parametrize("group", [4096, 2])
 def test_words_equal_brute_force(spark, group, monkeypatch):
     monkeypatch.setattr(passages, "GROUP", group)
